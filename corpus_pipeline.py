@@ -1,17 +1,45 @@
-"""A corpus pipeline over ``documents``."""
+"""A corpus pipeline over ``documents``: toxic documents go, repeated lines go, near copies go, sources are mixed, texts are encoded."""
 
-from quadrat.llm import simhash
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from quadrat.llm import linededup, mixing, pieces, simhash, toxicity
+
+PIECES = "piece_bpe_32k.model"
+
+
+def drop_toxic(spark, docs, sf_dir):
+    """Documents that the machine, fitted on ``labels``, scores below 0.5."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def dedup_lines(spark, docs, sf_dir):
+    """All documents, without the later occurrences of three-line windows; n_chars follows the text."""
+    return linededup.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_dedup(spark, docs, sf_dir):
+    """The document with the smallest id of each group of near copies."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
-ORACLE_SQL = None
+def mix_sources(spark, docs, sf_dir):
+    """The mix: each document as often as its source's target has it."""
+    return mixing.mixed(docs)
+
+
+def encode(spark, docs, sf_dir):
+    """Ids, their number and the decoded text of each row of the mix."""
+    return pieces.encode(docs, public_tokenizers.path(PIECES)).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("near_dedup", near_dedup), ("mixing", mix_sources), ("encoding", encode)]
+
+ORACLE_SQL = None  # the machine, XXH64 shingles and the tokenizer are beyond SQL; tests hold each stage to a brute-force version
 
 
 def run(spark, sf_dir):
+    """All stages over documents, one after another."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, langid, linededup, mixing, pieces, sharding, simhash, toxicity
+from . import imatch, langid, linededup, mixing, pieces, sharding, simhash, topk, toxicity, warc
 from .common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -32,6 +32,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % topk.EVERY == 0)
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), ids=False).withColumnRenamed("id", "doc_id")
 
@@ -50,9 +58,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_imatch, op2_simhash, op3_linededup, op4_toxicity, op7_pieces, op8_langid, op9_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_imatch, op2_simhash, op3_linededup, op4_toxicity, op5_warc, op6_topk, op7_pieces, op8_langid, op9_sharding, op10_mixing)}
 
 SQL = {
+    "op5_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS s, strlen(coalesce(html, '')) AS n FROM pages),
+g AS (SELECT s, max(page_id) AS top FROM p WHERE n >= {warc.LEAST} GROUP BY s)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN top IS NULL OR top IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to
+FROM p LEFT JOIN g USING (s)
+""",
+    "op6_topk": f"""
+WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {topk.EVERY} = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= {topk.TOP}
+""",
     "op3_linededup": r"""
 WITH lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 w AS (SELECT doc_id, i - 1 AS pos, l[i] AS a, l[i + 1] AS b, l[i + 2] AS c FROM lines, range(1, len(l) - 1) AS r(i)),
