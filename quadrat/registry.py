@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from quadrat.plans import reports, rules, spatial
+
+PLANS = (spatial, rules, reports)
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return reports.QUERIES["verify_strata"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {k: v for plan in PLANS for k, v in plan.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: v for plan in PLANS for k, v in plan.SQL.items()}
