@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
-os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
+os.environ["PYTHONPATH"] = f"{ROOT}:{ROOT}/tests:{os.environ.get('PYTHONPATH', '')}"
 os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
