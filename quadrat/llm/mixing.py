@@ -7,10 +7,8 @@ in the order of that time until the next one would go over the total budget.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import cut
 
@@ -26,10 +24,11 @@ EDGE_ROWS = 50_000
 RANGES = 4096
 
 
-@F.pandas_udf(T.LongType())
-def word_count(texts: pd.Series) -> pd.Series:
+def word_count(text: Column) -> Column:
     """Words between ASCII white space; 0 for null."""
-    return texts.map(lambda x: len(x.encode().split()) if x else 0)
+    runs = F.split(text, "[ \t-\r]+")
+    edges = F.when(F.get(runs, F.lit(0)) == "", 1).otherwise(0) + F.when(F.element_at(runs, -1) == "", 1).otherwise(0)
+    return F.coalesce(F.greatest(F.size(runs) - edges, F.lit(0)), F.lit(0)).cast("long")
 
 
 def targets(totals: DataFrame) -> DataFrame:
