@@ -62,8 +62,8 @@ def assign_edges(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray
     if not len(a):
         return taken
     part = np.unique(components(a, b), return_inverse=True)[1]
-    left = np.bincount(np.unique(np.stack((part, a)), axis=1)[0], minlength=part.max() + 1)
-    right = np.bincount(np.unique(np.stack((part, b)), axis=1)[0], minlength=part.max() + 1)
+    # a node lies in one component, so a component's nodes are counted at their first edges
+    left, right = (np.bincount(part[np.unique(x, return_index=True)[1]], minlength=part.max() + 1) for x in (a, b))
     star = (np.minimum(left, right) == 1)[part]
     edges = np.flatnonzero(star)
     edges = edges[np.lexsort((b[edges], a[edges], -weight[edges], part[edges]))]
@@ -95,7 +95,8 @@ def match(pairs: DataFrame, keys: list[str], left: str, right: str, iou: str = "
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values([*keys, left, right], kind="stable")
         group = frame.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
-        sides = [np.unique(np.stack((group, np.unique(frame[c].to_numpy(), return_inverse=True)[1])), axis=1, return_inverse=True)[1].ravel() for c in (left, right)]
+        codes = [np.unique(frame[c].to_numpy(), return_inverse=True)[1] for c in (left, right)]
+        sides = [group.astype(np.int64) * (c.max(initial=0) + 1) + c for c in codes]
         return frame[assign_edges(*sides, frame[iou].to_numpy(np.float64))]
 
     return by_runs(wanted, keys, solve, wanted.schema)
