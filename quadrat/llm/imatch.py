@@ -24,13 +24,14 @@ DIGEST, NONE = 8, "-" * 8
 
 
 def words(text: Column) -> Column:
-    """The distinct lower-case words between ASCII white space, and one empty word where spaces lead or trail."""
-    return F.array_distinct(F.split(F.lower(text), "[ \t-\r]+"))
+    """The distinct lower-case words between ASCII white space, and one empty word."""
+    return F.array_union(F.split(F.lower(text), "[ \t-\r]+"), F.array(F.lit("")))
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", rare: float = RARE, common: float = COMMON) -> DataFrame:
     """(term, mask): the terms of the band; bit k of mask tells whether subset k has the term.
 
+    The empty word is there too, in no subset, so that every text holds some term.
     Document frequencies are over all rows and summed before they are shuffled. A term in one document
     only is never kept.
     """
@@ -42,13 +43,14 @@ def lexicon(docs: DataFrame, text_col: str = "text", rare: float = RARE, common:
     for k, share in enumerate(SUBSETS[1:], 1):
         # two hexadecimal digits of the term's digest, others for each subset
         mask = mask + F.when(F.conv(F.substring(digest, 2 * k, 2), 16, 10).cast("int") < share, 1 << k).otherwise(0)
-    return kept.select("term", mask.alias("mask"))
+    none = docs.sparkSession.createDataFrame([("", 0)], "term string, mask int")
+    return kept.select("term", mask.alias("mask")).unionByName(none)
 
 
 def digests(texts: DataFrame, terms: DataFrame, keys: list[str], text_col: str, broadcast: bool) -> DataFrame:
-    """keys and fingerprint for each row of texts that holds a term of the lexicon; keys name a row.
+    """keys and fingerprint for each row of texts, which keys name; without a term of a subset its digest is NONE.
 
-    texts must be partitioned by the first key, so that a row's terms meet without another shuffle.
+    Where texts is partitioned by some of the keys, a row's terms meet without another shuffle.
     """
     found = texts.select(*keys, F.explode(words(F.col(text_col))).alias("term")).join(F.broadcast(terms) if broadcast else terms, "term")
     listed = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("term", "mask"))).alias("held"))
@@ -60,9 +62,13 @@ def _digest(bit: int) -> Column:
     return F.when(F.size(own) == 0, F.lit(NONE)).otherwise(F.substring(F.md5(F.concat_ws(" ", F.transform(own, lambda x: x.term))), 1, DIGEST))
 
 
-def plain(text: Column) -> Column:
-    """The fingerprint of a text without a term of the lexicon: the text's own digest in every place."""
-    return F.repeat(F.substring(F.md5(text), 1, DIGEST), len(SUBSETS))
+def _filled(fingerprint: Column, digest: Column) -> Column:
+    """A fingerprint without any term of the lexicon has the text's own digest in every place."""
+    return F.when(fingerprint == NONE * len(SUBSETS), F.repeat(digest, len(SUBSETS))).otherwise(fingerprint)
+
+
+def _own(text: Column) -> Column:
+    return F.substring(F.md5(text), 1, DIGEST)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -77,47 +83,53 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint) for every row of docs; a null text counts as empty."""
+    """(id, fingerprint) for every distinct (id, text) of docs; a null text counts as empty."""
     terms = cut(lexicon(docs, text_col))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).repartition("id")
-    rows = rows.withColumn("sha", F.sha2("body", 256))
-    found = digests(rows, terms, ["id", "sha"], "body", terms.count() <= BROADCAST_TERMS).dropDuplicates(["id", "sha"])
-    found = found.select(F.col("id").alias("i"), F.col("sha").alias("s"), "fingerprint")
-    return rows.join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("sha") == F.col("s")), "left").select("id", F.coalesce("fingerprint", plain(F.col("body"))).alias("fingerprint"))
+    rows = rows.select("id", "body", F.sha2("body", 256).alias("sha"), _own(F.col("body")).alias("own"))
+    found = digests(rows.dropDuplicates(["id", "sha"]), terms, ["id", "sha", "own"], "body", terms.count() <= BROADCAST_TERMS)
+    return found.select("id", _filled(F.col("fingerprint"), F.col("own")).alias("fingerprint"))
 
 
 def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every text's fingerprint beside those of its edited text and of the next document.
 
     The next document has the next smaller id, the largest after the smallest; of rows that share an id
-    it is the one with the smallest SHA-256. A null id stands for the smallest bigint and a null text is
-    empty. The edited text has its last floor(n_chars / 2) code points replaced by the first as many of
-    the next document's, or all if it is shorter. Repeated rows stay repeated. An empty table gives no
-    rows. Texts are shuffled once whole and once as the heads that edits need; the lexicon is of docs.
+    it is the one with the smallest SHA-256. A null id stands for the smallest bigint, which itself reads
+    as null, and a null text is empty. The edited text has its last floor(n_chars / 2) code points replaced
+    by the first as many of the next document's, or all if it is shorter. Repeated rows stay repeated. An
+    empty table gives no rows. The lexicon is of docs.
+
+    Texts are shuffled once whole, by id (both joins read that shuffle), and once as the heads that edits
+    need. What names a row travels with its terms as grouping keys, so fingerprints need no shuffle.
     """
     terms = cut(lexicon(docs, text_col))
     small = terms.count() <= BROADCAST_TERMS
-    raw = docs.select(F.coalesce(F.col(id_col), F.lit(NULL_ID)).cast("long").alias("key"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    rows = raw.repartition("key").groupBy("key", "body").agg(F.count("*").alias("n"), F.max("no_id").alias("no_id")).withColumn("sha", F.sha2("body", 256))
-    sizes = cut(rows.groupBy("key").agg(F.max(F.char_length("body")).alias("chars"), F.min("sha").alias("first_sha")))
+    raw = docs.select(F.coalesce(F.col(id_col), F.lit(NULL_ID)).cast("long").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    sizes = cut(raw.groupBy("key").agg(F.max(F.char_length("body")).alias("chars"), F.min(F.sha2("body", 256)).alias("first_sha")))
     order = following(sizes.select("key"))
-    wanted = cut(order.join(sizes, "key").select(F.col("next_key").alias("from_key"), F.col("key").alias("to_key"), F.floor(F.col("chars") / 2).cast("int").alias("need")))
-    wanted = wanted.join(sizes.select(F.col("key").alias("from_key"), "first_sha"), "from_key")
-    heads = rows.join(wanted, (F.col("key") == F.col("from_key")) & (F.col("sha") == F.col("first_sha"))).select(F.col("to_key"), F.col("from_key").alias("next_key"), F.col("sha").alias("next_sha"), F.substring(F.col("body"), F.lit(1), F.col("need")).alias("head"))
+    wanted = order.join(sizes.select("key", "chars"), "key").select(F.col("next_key").alias("from_key"), F.col("key").alias("to_key"), F.floor(F.col("chars") / 2).cast("int").alias("need"))
+    wanted = cut(wanted.join(sizes.select(F.col("key").alias("from_key"), "first_sha"), "from_key"))
+    rows = raw.repartition("key").groupBy("key", "body").agg(F.count("*").alias("n")).withColumn("sha", F.sha2("body", 256))
+    # equal digests as a condition on the joined row: as a join key they would shuffle the texts again
+    first = F.least("sha", "first_sha") == F.greatest("sha", "first_sha")
+    heads = rows.filter("n > 0").join(wanted, F.col("key") == F.col("from_key")).filter(first)
+    heads = heads.select("to_key", F.col("from_key").alias("next_key"), F.col("sha").alias("next_sha"), F.substring(F.col("body"), F.lit(1), F.col("need")).alias("head"))
     chars = F.char_length("body")
     half = F.floor(chars / 2).cast("int")
-    pairs = rows.join(heads, F.col("key") == F.col("to_key")).drop("to_key").withColumn("n_chars", chars.cast("long"))
-    pairs = pairs.withColumn("edited", F.concat(F.substring(F.col("body"), F.lit(1), (chars - half)), F.substring(F.col("head"), F.lit(1), half))).drop("head")
+    pairs = rows.filter("n > 0").join(heads, F.col("key") == F.col("to_key"))
+    pairs = pairs.withColumn("edited", F.concat(F.substring(F.col("body"), F.lit(1), chars - half), F.substring(F.col("head"), F.lit(1), half)))
+    named = ["key", "sha", "n", "n_chars", "next_key", "next_sha", "edited_sha256", "own", "edited_own"]
+    pairs = pairs.select("key", "sha", "n", chars.cast("long").alias("n_chars"), "next_key", "next_sha", F.sha2("edited", 256).alias("edited_sha256"), _own(F.col("body")).alias("own"), _own(F.col("edited")).alias("edited_own"), "body", "edited")
     both = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("body").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"))))
-    texts = pairs.select("key", "sha", both.alias("x")).select("key", "sha", "x.kind", "x.t")
-    found = digests(texts, terms, ["key", "sha", "kind"], "t", small)
-    held = found.groupBy("key", "sha").agg(F.max(F.when(F.col("kind") == 0, F.col("fingerprint"))).alias("fp"), F.max(F.when(F.col("kind") == 1, F.col("fingerprint"))).alias("efp"))
-    short = pairs.select("key", "sha", "n", "no_id", "n_chars", "next_key", "next_sha", F.sha2("edited", 256).alias("edited_sha256"), plain(F.col("body")).alias("p"), plain(F.col("edited")).alias("ep"))
-    done = cut(short.join(held, ["key", "sha"], "left").select("key", "sha", "n", "no_id", "n_chars", "next_key", "next_sha", "edited_sha256", F.coalesce("fp", "p").alias("fingerprint"), F.coalesce("efp", "ep").alias("edited_fingerprint")))
+    texts = pairs.select(*named, both.alias("x")).select(*named, "x.kind", "x.t")
+    found = digests(texts, terms, [*named, "kind"], "t", small)
+    held = found.groupBy(*named).agg(*(F.max(F.when(F.col("kind") == k, F.col("fingerprint"))).alias(c) for k, c in enumerate(("fingerprint", "edited_fingerprint"))))
+    done = cut(held.withColumn("fingerprint", _filled(F.col("fingerprint"), F.col("own"))).withColumn("edited_fingerprint", _filled(F.col("edited_fingerprint"), F.col("edited_own"))).drop("own", "edited_own"))
     others = done.select(F.col("key").alias("k"), F.col("sha").alias("s"), F.col("fingerprint").alias("next_fp"))
     out = done.join(others, (F.col("next_key") == F.col("k")) & (F.col("next_sha") == F.col("s")))
-    out = out.select(
-        F.when(~F.col("no_id"), F.col("key")).alias("id"),
+    return out.select(
+        F.when(F.col("key") != NULL_ID, F.col("key")).alias("id"),
         "n_chars",
         "edited_sha256",
         "fingerprint",
@@ -125,5 +137,4 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next"),
         F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"),
-    )
-    return out.drop("copy")
+    ).drop("copy")
