@@ -60,7 +60,28 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_imatch, op2_simhash, op3_linededup, op4_toxicity, op5_warc, op6_topk, op7_pieces, op8_langid, op9_sharding, op10_mixing)}
 
+_DIGESTS = len(imatch.SUBSETS)
+_LIKENESS = f"""CASE WHEN {{a}} = {{b}} THEN 1.0 ELSE coalesce(len([i FOR i IN range(1, {_DIGESTS + 1}) IF {{a}}[i] = {{b}}[i] AND {{a}}[i] <> '{imatch.NONE}'])
+  / nullif(len([i FOR i IN range(1, {_DIGESTS + 1}) IF {{a}}[i] <> '{imatch.NONE}' OR {{b}}[i] <> '{imatch.NONE}']), 0), 0.0) END"""
+
 SQL = {
+    "op1_imatch": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body, length(coalesce(text, '')) AS n FROM documents),
+o AS (SELECT *, coalesce(lead(body) OVER w, first_value(body) OVER w) AS after, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id FROM d WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, substring(body, 1, n - n // 2) || substring(after, 1, n // 2) AS edited FROM o),
+x AS (SELECT doc_id, 0 AS kind, body AS t FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
+w AS (SELECT doc_id, kind, unnest(list_distinct(string_split_regex(lower(t), '[\\x20\\x09-\\x0D]+'))) AS term FROM x),
+f AS (SELECT term, count(*) AS df FROM w WHERE kind = 0 AND term <> '' GROUP BY term),
+lex AS (SELECT term, sha256('i-match:' || term) AS h FROM f, (SELECT count(*) AS total FROM d) WHERE df BETWEEN greatest(2.0, {imatch.RARE} * total) AND greatest(2.0, {imatch.COMMON} * total)),
+s AS (SELECT CAST(k - 1 AS INTEGER) AS k, [{", ".join(map(str, imatch.SUBSETS))}][k] AS share FROM range(1, {_DIGESTS + 1}) AS r(k)),
+m AS (SELECT term, k FROM lex, s WHERE k = 0 OR CAST('0x' || substr(h, 2 * k, 2) AS INTEGER) < share),
+g AS (SELECT doc_id, kind, k, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, {imatch.DIGEST}) AS h FROM w JOIN m USING (term) GROUP BY 1, 2, 3),
+a AS (SELECT x.doc_id, x.kind, any_value(x.t) AS t, list(coalesce(g.h, '{imatch.NONE}') ORDER BY s.k) AS l FROM x CROSS JOIN s LEFT JOIN g ON g.doc_id = x.doc_id AND g.kind = x.kind AND g.k = s.k GROUP BY 1, 2),
+p AS (SELECT doc_id, kind, CASE WHEN len(list_filter(l, lambda y: y <> '{imatch.NONE}')) = 0 THEN [substr(md5(t), 1, {imatch.DIGEST}) FOR i IN range(0, {_DIGESTS})] ELSE l END AS l FROM a)
+SELECT e.doc_id, CAST(e.n AS BIGINT) AS n_chars, sha256(e.edited) AS edited_sha256, array_to_string(p.l, '') AS fingerprint, array_to_string(q.l, '') AS edited_fingerprint,
+  {_LIKENESS.format(a="p.l", b="q.l")} AS near_edited, {_LIKENESS.format(a="p.l", b="z.l")} AS near_next
+FROM e JOIN p ON p.doc_id = e.doc_id AND p.kind = 0 JOIN p q ON q.doc_id = e.doc_id AND q.kind = 1 JOIN p z ON z.doc_id = e.next_id AND z.kind = 0
+""",
     "op5_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS s, strlen(coalesce(html, '')) AS n FROM pages),
 g AS (SELECT s, max(page_id) AS top FROM p WHERE n >= {warc.LEAST} GROUP BY s)
