@@ -88,6 +88,22 @@ def detections(raw: DataFrame, threshold: float, strict: bool = True) -> DataFra
     return kept.select("image_id", "pos", g.shift("box", wx, wy).alias("det_box"), "label", "score")
 
 
+def decode(raw: DataFrame, classes: list[str], threshold: float, width, height, logits: str = "logits", box: str = "unit_box") -> DataFrame:
+    """Detector output as records: score, label, class_scores, view_box and crop_edge of rows that reach the threshold.
+
+    logits holds one number a class, unit_box a box in shares of the padded square's side. Scores are
+    sigmoids; the label is the first class of the highest; boxes are scaled by the longer side and clipped
+    to the view; crop_edge tells whether clipping changed a box.
+    """
+    scores = F.transform(logits, lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x)))
+    side = F.greatest(g._col(width), g._col(height))
+    names = F.array(*map(F.lit, classes))
+    found = raw.withColumn("__s", scores).withColumn("score", F.array_max("__s")).filter(F.col("score") >= threshold)
+    whole = g.box(*(e * side for e in g.parts(box)))
+    found = found.withColumns({"label": F.get(names, (F.array_position("__s", F.col("score")) - 1).cast("int")), "class_scores": F.map_from_arrays(names, F.col("__s")), "__w": whole})
+    return found.withColumn("view_box", g.clip("__w", width, height)).withColumn("crop_edge", F.col("view_box") != F.col("__w")).drop("__s", "__w", logits, box)
+
+
 def normalised(vectors: DataFrame, vector: str = "vector") -> DataFrame:
     """vectors with unit length; a zero vector stays."""
     size = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))

@@ -101,3 +101,11 @@ def arm_label(label: str, mapping: dict[str, int], policy: str, verifier: str =
     other = {"drop": F.lit(None), "modal": F.lit(modal), "retrieval": F.element_at(table, F.col(retrieved)), "verifier_label": F.element_at(table, F.col(verifier))}[policy]
     found = F.coalesce(own, other.cast("int"))
     return F.struct(found.alias("class"), F.when(own.isNotNull(), "mapped").when(found.isNotNull(), f"parent_{policy}").otherwise("unmapped").alias("reason"))
+
+
+def classify(boxes: DataFrame, tight: DataFrame, loose: DataFrame, keys: list[str]) -> DataFrame:
+    """boxes with kind: tight, loose or unmatched, from the matchings at a strict and at a lenient threshold."""
+    t = tight.select(*keys).distinct().withColumn("__t", F.lit(True))
+    s = loose.select(*keys).distinct().withColumn("__s", F.lit(True))
+    joined = boxes.join(t, keys, "left").join(s, keys, "left")
+    return joined.withColumn("match_kind", F.when(F.col("__t"), "tight").when(F.col("__s"), "loose").otherwise("unmatched")).drop("__t", "__s")

@@ -84,6 +84,105 @@ def ontology_closure(spark: SparkSession, classes: DataFrame, depth: int = 64) -
         SELECT class, ancestor, depth FROM up""")
 
 
+#: What enumerated fields may hold.
+SPLITS = ("development", "calibration", "evaluation")
+RUN_STATUS = ("completed", "failed", "interrupted", "missing")
+KINDS, LAYERS, STATUS = ("instance", "part", "group", "stuff"), ("physical", "depicted", "reflected"), ("accepted", "uncertain")
+STATES, DIMENSIONS = ("supported", "unresolved", "not_assessed"), ("existence", "class", "boundary", "count", "granularity")
+RESOLUTIONS, ORIGINS = ("specific", "broad", "unknown"), ("independent", "accepted_prediction", "corrected_prediction")
+
+
+def benchmark(images: DataFrame, references: DataFrame, predictions: DataFrame, labels: list[str]) -> DataFrame:
+    """(entity, code) of a benchmark: identities, splits, leakage, records, mappings and run states.
+
+    images: image_id, split, run_status, sha256, scene_id, near_duplicate_group, width, height; references:
+    image_id, id, ref_box, permitted; predictions: image_id, id, box, label, status, kind, scene_layer. All
+    rows are checked, of every split.
+    """
+    identity = ["sha256", "scene_id", "near_duplicate_group"]
+    sizes = images.select("image_id", "width", "height", "run_status")
+    refs, preds = references.join(sizes, "image_id"), predictions.join(sizes, "image_id")
+    name = lambda: F.concat_ws("/", F.col("image_id").cast("string"), F.col("id").cast("string"))
+    known = F.size(F.array_except("permitted", F.array(*map(F.lit, labels)))) == 0
+    return violations(
+        duplicates(images, ["image_id"], "duplicate_image_id"),
+        broken(images, F.col("image_id"), {"invalid_split": F.col("split").isin(*SPLITS), "invalid_run_status": F.col("run_status").isin(*RUN_STATUS), **{f"missing_leakage_identity: {c}": F.coalesce(F.col(c), F.lit("")) != "" for c in identity}}),
+        leakage(images, identity),
+        duplicates(references, ["image_id", "id"], "duplicate_record_id"),
+        duplicates(predictions, ["image_id", "id"], "duplicate_record_id"),
+        broken(refs, name(), {**box_rules("ref_box", "width", "height"), "invalid_reference_mapping": (F.size("permitted") > 0) & known}),
+        broken(
+            preds,
+            name(),
+            {
+                **box_rules("box", "width", "height"),
+                "invalid_prediction": F.col("label").isin(labels) & F.col("status").isin(*STATUS) & F.col("kind").isin(*KINDS) & F.col("scene_layer").isin(*LAYERS),
+                "invalid_accepted_label": ~((F.col("status") == "accepted") & F.col("label").isin("unknown_object", "entity")),
+                "failed_run_has_predictions": F.col("run_status") == "completed",
+            },
+        ),
+    )
+
+
+def annotation(objects: DataFrame, relations: DataFrame, labels: list[str], useful: list[str]) -> DataFrame:
+    """(entity, code) of annotation objects: identities, labels, states, counts and relations.
+
+    objects: run, id, box, width, height, label, kind, status, the five dimensions, flags (array), lo and hi
+    (the count); relations: run, src, type, dst.
+    """
+    name = lambda c="id": F.concat_ws("/", "run", c)
+    supported = F.lit(True)
+    for d in DIMENSIONS:
+        supported = supported & (F.col(d) == "supported")
+    states = F.lit(True)
+    for d in DIMENSIONS:
+        states = states & F.col(d).isin(*STATES)
+    counted = F.col("lo").isNotNull()
+    rules = {
+        **box_rules("box", "width", "height"),
+        "invalid_ontology_label": F.col("label").isin(labels),
+        "invalid_state": states,
+        "invalid_acceptance": (F.col("status") != "accepted") | (supported & F.col("label").isin(useful)),
+        "unknown_class_supported": ~((F.col("class") == "supported") & (F.col("label") == "unknown_object")),
+        "count_only_for_groups": ~counted | (F.col("kind") == "group"),
+        "unsupported_group_count": ~counted | (F.col("count") == "supported") | (F.col("lo") < F.col("hi")),
+        "unresolved_group_count": (F.col("kind") != "group") | counted | (F.col("count") != "supported"),
+    }
+    ends = relations.select("run", F.col("dst").alias("id"), F.concat_ws("/", "run", "src").alias("__e"))
+    parts = relations.filter("type = 'part_of'")
+    part_objects = objects.filter("kind = 'part'").select("run", "id")
+    return violations(
+        duplicates(objects, ["run", "id"], "duplicate_object_id"),
+        broken(objects, name(), rules),
+        missing(ends, ["run", "id"], objects, F.col("__e"), "invalid_relation_target"),
+        missing(part_objects, ["run", "id"], parts.select("run", F.col("src").alias("id")), name(), "missing_part_of"),
+        cycles(parts.select(F.concat_ws("/", "run", "src").alias("src"), F.concat_ws("/", "run", "dst").alias("dst"))).select(F.col("src").alias("entity"), F.lit("cyclic_part_of").alias("code")),
+    )
+
+
+def panel(images: DataFrame, annotations: DataFrame, planned: DataFrame, visited: DataFrame, labels: list[str], blind: bool, anchoring: str) -> DataFrame:
+    """(entity, code) of a reference panel: sweep, records, content repeats, and how it was anchored.
+
+    images: image_id, sha256; annotations: image_id, id, label, kind, scene_layer, origin, eligible,
+    exclusion_reason; planned and visited: image_id, job.
+    """
+    sweep = sweep_faults(planned, visited, ["image_id"])
+    key = F.col("image_id").cast("string")
+    name = F.concat_ws("/", key, F.col("id").cast("string"))
+    anchored = annotations.filter(F.col("origin") != "independent")
+    found = violations(
+        sweep.filter("size(unknown) > 0").select(key.alias("entity"), F.lit("unknown_review_tile").alias("code")),
+        sweep.filter("size(missing) > 0").select(key.alias("entity"), F.lit("incomplete_sweep").alias("code")),
+        duplicates(images, ["sha256"], "duplicate_image_content"),
+        duplicates(annotations, ["image_id", "id"], "duplicate_annotation_id"),
+        broken(annotations, name, {"unknown_label": F.col("label").isin(labels), "invalid_kind": F.col("kind").isin(*KINDS), "invalid_scene_layer": F.col("scene_layer").isin(*LAYERS), "invalid_origin": F.col("origin").isin(*ORIGINS), "missing_exclusion_reason": F.coalesce("eligible", F.lit(True)) | F.col("exclusion_reason").isNotNull()}),
+        anchored.filter(F.lit(anchoring == "blind")).select(name.alias("entity"), F.lit("reference_annotated_against_predictions").alias("code")),
+    )
+    if blind and anchoring != "blind":
+        found = found.unionByName(images.limit(1).select(F.lit("panel").alias("entity"), F.lit("prediction_assisted_panel_cannot_claim_blind").alias("code")))
+    return found
+
+
 def box_rules(box: str, width, height) -> dict[str, Column]:
     return {"invalid_box": g.box_fault(box, width, height).isNull()}
 
