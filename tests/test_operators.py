@@ -472,3 +472,58 @@ def test_stream_by_batch(spark, tmp_path):
     rows = stream.records(spark, f"{tmp_path}/in", df.schema)
     stream.by_batch(rows, f"{tmp_path}/ck", lambda b: b.groupBy("image_id").count(), f"{tmp_path}/out").awaitTermination()
     assert sorted((r.image_id, r["count"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, 2), (2, 1)]
+
+
+def test_annotation_constraints(spark):
+    fine = {d: "supported" for d in validate.DIMENSIONS}
+    base = {"run": "r", "box": (0.0, 0.0, 5.0, 5.0), "width": 10, "height": 10, "label": "car", "kind": "instance", "status": "accepted", "lo": None, "hi": None, **fine}
+    rows = [
+        {**base, "id": "ok"},
+        {**base, "id": "dup"},
+        {**base, "id": "dup"},
+        {**base, "id": "label", "label": "boat", "status": "uncertain"},
+        {**base, "id": "accepted", "boundary": "unresolved"},
+        {**base, "id": "unknown", "label": "unknown_object", "status": "uncertain"},
+        {**base, "id": "counted", "lo": 1, "hi": 1},
+        {**base, "id": "part", "kind": "part"},
+        {**base, "id": "state", "class": "maybe", "status": "uncertain"},
+    ]
+    names = ["run", "id", "width", "height", "label", "kind", "status", "lo", "hi", *validate.DIMENSIONS]
+    objects = spark.createDataFrame([(*(r[n] for n in names), r["box"]) for r in rows], "run string, id string, width int, height int, label string, kind string, status string, lo int, hi int, " + ", ".join(f"`{d}` string" for d in validate.DIMENSIONS) + f", box {BOX}")
+    relations = spark.createDataFrame([("r", "ok", "next_to", "gone"), ("r", "ok", "part_of", "dup"), ("r", "dup", "part_of", "ok")], "run string, src string, type string, dst string")
+    found = {(r.entity.split("/")[-1], r.code) for r in validate.annotation(objects, relations, [c for c, _, _ in ONTOLOGY.classes], sorted(ONTOLOGY.useful())).collect()}
+    assert found == {("dup", "duplicate_object_id"), ("label", "invalid_ontology_label"), ("accepted", "invalid_acceptance"), ("unknown", "unknown_class_supported"), ("counted", "count_only_for_groups"), ("part", "missing_part_of"), ("state", "invalid_state"), ("ok", "invalid_relation_target"), ("ok", "cyclic_part_of"), ("dup", "cyclic_part_of")}
+
+
+def test_panel_constraints(spark):
+    images = spark.createDataFrame([(1, "a"), (2, "a")], "image_id long, sha256 string")
+    notes = spark.createDataFrame([(1, "x", "car", "instance", "physical", "independent", True, None), (1, "y", "boat", "thing", "physical", "accepted_prediction", False, None)], "image_id long, id string, label string, kind string, scene_layer string, origin string, eligible boolean, exclusion_reason string")
+    planned = spark.createDataFrame([(1, "r0c0"), (1, "r0c1"), (2, "r0c0")], "image_id long, job string")
+    visited = spark.createDataFrame([(1, "r0c0"), (2, "r0c0"), (2, "r9c9")], "image_id long, job string")
+    found = sorted(r.code for r in validate.panel(images, notes, planned, visited, ["car"], True, "blind").collect())
+    assert found == ["duplicate_image_content", "incomplete_sweep", "invalid_kind", "missing_exclusion_reason", "reference_annotated_against_predictions", "unknown_label", "unknown_review_tile"]
+    codes = [r.code for r in validate.panel(images, notes.limit(0), planned, planned, ["car"], True, "assisted").collect()]
+    assert "prediction_assisted_panel_cannot_claim_blind" in codes
+
+
+def test_vocabulary(spark):
+    classes = spark.createDataFrame([("car", "car"), ("van", "van")], "class string, name string")
+    prompts = spark.createDataFrame([("car", "a car"), ("boat", "x"), ("van", " ")], "class string, prompt string")
+    resolved, summary = search.resolve_prompts(classes, prompts)
+    assert {r["class"]: r.prompt for r in resolved.collect()} == {"car": "a car", "van": "van"}
+    s = summary.first()
+    assert list(s.fallbacks) == ["van"] and s.coverage == 0.5 and len(s.identity) == 64
+    assert sorted(map(tuple, search.vocabulary_faults(prompts, classes).collect())) == [("boat", "vocabulary_covers_unknown_class"), ("van", "empty_prompt_for_class")]
+
+
+def test_many_leads_in_one_image(spark):
+    """The array shortcut for images of many leads changes nothing."""
+    rnd = random.Random(12)
+    rows = [(f"o{i}", rnd.choice(["car", "van"]), rnd.random(), rnd.random() < 0.3, (x := rnd.randint(0, 300), y := rnd.randint(0, 300), x + rnd.randint(5, 30), y + rnd.randint(5, 30))) for i in range(400)]
+    df = observations(spark, rows)
+    fast = leads(df, ontology=ONTOLOGY)
+    many, cluster.MANY = cluster.MANY, 10**9
+    try:
+        assert leads(df, ontology=ONTOLOGY) == fast and len({v[0] for v in fast.values()}) > 100
+    finally:
+        cluster.MANY = many
