@@ -83,14 +83,15 @@ def assign_edges(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray
     return taken
 
 
-def match(pairs: DataFrame, keys: list[str], left: str, right: str, iou: str = "iou") -> DataFrame:
+def match(pairs: DataFrame, keys: list[str], left: str, right: str, iou: str = "iou", carry: list[str] | None = None) -> DataFrame:
     """The pairs that a one-to-one matching takes, in each group of keys.
 
     pairs holds only allowed pairs, with their IoU. Many groups are solved in one call; the cost of a
     group follows its largest connected component and not the whole image. Which of equally good pairings
-    is taken is fixed by the order of left and right, not by the input's order.
+    is taken is fixed by the order of left and right, not by the input's order. carry names further
+    columns that the taken pairs keep.
     """
-    wanted = pairs.select(*keys, left, right, iou)
+    wanted = pairs.select(*keys, left, right, iou, *(carry or []))
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values([*keys, left, right], kind="stable")

@@ -112,11 +112,13 @@ def selectivity(retained: DataFrame, references: DataFrame, thresholds: DataFram
     refs = references.select("image_id", "ref", "ref_box")
     boxes = retained.select("image_id", "pos", "box", F.col(score).alias("score"))
     close = overlap_join(boxes, refs).filter(g.iou_at_least("box", "ref_box", *MATCH)).select("image_id", "pos", "ref", "score", g.iou("box", "ref_box").alias("iou"))
-    swept = close.join(F.broadcast(thresholds), F.col("score") >= F.col("threshold")).select("threshold", "image_id", "pos", "ref", "iou")
-    matched = match(swept, ["threshold", "image_id"], "pos", "ref").groupBy("threshold").agg(F.count("*").alias("matched_kept"))
-    whole = match(close.drop("score"), ["image_id"], "pos", "ref").agg(F.count("*").alias("matched_total"))
+    # the matching of all boxes rides along as a threshold of its own, null
+    at = thresholds.unionByName(thresholds.sparkSession.createDataFrame([(None,)], thresholds.schema))
+    swept = close.join(F.broadcast(at), F.col("threshold").isNull() | (F.col("score") >= F.col("threshold"))).select("threshold", "image_id", "pos", "ref", "iou")
+    found = match(swept, ["threshold", "image_id"], "pos", "ref").groupBy("threshold").agg(F.count("*").alias("matched_kept"))
+    matched, whole = found.filter("threshold is not null"), found.filter("threshold is null").select(F.col("matched_kept").alias("matched_total"))
     kept = boxes.join(F.broadcast(thresholds), F.col("score") >= F.col("threshold")).groupBy("threshold").agg(F.count("*").alias("kept"))
-    sizes = boxes.agg(F.count("*").alias("total")).join(refs.agg(F.count("*").alias("n_refs"))).join(whole)
+    sizes = boxes.agg(F.count("*").alias("total")).join(refs.agg(F.count("*").alias("n_refs"))).join(whole, how="left").fillna(0)
     rows = thresholds.join(kept, "threshold", "left").join(matched, "threshold", "left").fillna(0).join(F.broadcast(sizes))
     gone, unmatched = F.col("matched_total") - F.col("matched_kept"), F.col("total") - F.col("matched_total")
     rows = rows.withColumns({"removed": F.col("total") - F.col("kept"), "matched_removed": gone})

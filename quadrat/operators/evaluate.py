@@ -48,19 +48,17 @@ def image_counts(images: DataFrame, references: DataFrame, predictions: DataFram
     tests = {"m50": F.lit(True), "s50": F.col("scored"), "a50": F.col("accepted") & named, "a75": F.col("accepted") & named & g.iou_at_least("box", "ref_box", 3, 4), "a85": F.col("accepted") & named & g.iou_at_least("box", "ref_box", 17, 20)}
     kinds = F.array_compact(F.array(*(F.when(t, k) for k, t in tests.items())))
     spread = pairs.select("image_id", "pos", "ref", g.iou("box", "ref_box").alias("iou"), named.alias("named"), F.explode(kinds).alias("matching"))
-    chosen = match(spread.drop("named"), ["matching", "image_id"], "pos", "ref").drop("iou")
-    kept = spread.join(chosen, ["matching", "image_id", "pos", "ref"])
-    matched = kept.groupBy("image_id").agg(*(F.count_if(F.col("matching") == k).alias(k) for k in tests), F.count_if((F.col("matching") == "m50") & F.col("named")).alias("correct"))
-    # an unmatched scored box that overlaps a reference at the criterion all the same
-    reaching = spread.filter("matching = 's50'").select("image_id", "pos").distinct()
-    duplicates = reaching.join(chosen.filter("matching = 's50'").select("image_id", "pos"), ["image_id", "pos"], "left_anti").groupBy("image_id").agg(F.count("*").alias("duplicate"))
+    chosen = match(spread, ["matching", "image_id"], "pos", "ref", carry=["named"])
+    matched = chosen.groupBy("image_id").agg(*(F.count_if(F.col("matching") == k).alias(k) for k in tests), F.count_if((F.col("matching") == "m50") & F.col("named")).alias("correct"))
+    # scored boxes that overlap a reference at the criterion; those beyond the matched ones are duplicates
+    reaching = pairs.filter("scored").select("image_id", "pos").distinct().groupBy("image_id").agg(F.count("*").alias("reaching"))
     sides = refs.groupBy("image_id").agg(F.count("*").alias("eligible"))
     counts = final.groupBy("image_id").agg(F.count("*").alias("final"), F.count_if("scored").alias("scored"), F.count_if("accepted").alias("accepted"), F.count_if(F.col("label") == "unknown_object").alias("unknown"))
     out = images
-    for part in (sides, counts, matched, duplicates):
+    for part in (sides, counts, matched, reaching):
         out = out.join(part, "image_id", "left")
-    names = ["eligible", "final", "scored", "accepted", "unknown", *tests, "correct", "duplicate"]
-    out = out.fillna(0, names)
+    names = ["eligible", "final", "scored", "accepted", "unknown", *tests, "correct", "reaching"]
+    out = out.fillna(0, names).withColumn("duplicate", F.col("reaching") - F.col("s50"))
     done = F.col("run_status") == "completed"
     return out.withColumns({"one": F.lit(1).cast("long"), "complete": (done & (F.col("m50") == F.col("eligible"))).cast("long"), "fully": (done & (F.col("a85") == F.col("eligible")) & (F.col("a85") == F.col("scored"))).cast("long")})
 

@@ -8,6 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def _equal(rows: pd.DataFrame, last: pd.Series) -> pd.Series:
+    """Which rows have the keys of last; nulls are equal to nulls."""
+    return ((rows == last) | (rows.isna() & last.isna())).all(axis=1)
+
+
 def by_runs(df: DataFrame, keys: list[str], function: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
     """function over frames that hold whole groups of keys, many at once; one shuffle by the keys.
 
@@ -20,10 +25,10 @@ def by_runs(df: DataFrame, keys: list[str], function: Callable[[pd.DataFrame], p
         for batch in batches:
             if not len(batch):
                 continue
-            tail = (batch[keys] == batch[keys].iloc[-1]).all(axis=1).to_numpy()
+            tail = _equal(batch[keys], batch[keys].iloc[-1]).to_numpy()
             start = len(batch) - int(tail[::-1].argmin()) if not tail.all() else 0
             if start == 0:
-                same = held and (held[-1][keys].iloc[-1] == batch[keys].iloc[-1]).all()
+                same = held and _equal(held[-1][keys].tail(1), batch[keys].iloc[-1]).all()
                 if held and not same:
                     yield function(pd.concat(held, ignore_index=True))
                     held = []

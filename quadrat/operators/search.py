@@ -38,7 +38,7 @@ def score_vocabulary(boxes: DataFrame, references: DataFrame, threshold: float)
 
     boxes have image_id, pos, box and scores (map of class scores); the first class by name wins ties.
     """
-    best = F.get(F.array_sort(F.map_entries("scores"), lambda x, y: F.when(x["value"] > y["value"], -1).when(x["value"] < y["value"], 1).when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0)), F.lit(0))
+    best = F.get(F.array_sort(F.transform(F.map_entries("scores"), lambda e: F.struct((-e["value"]).alias("order"), e["key"].alias("key"), e["value"].alias("value")))), F.lit(0))
     kept = boxes.withColumn("__b", best).select("image_id", "pos", "box", F.col("__b.key").alias("class"), F.col("__b.value").alias("score")).filter(F.col("score") >= threshold)
     pairs = overlap_join(kept, references.select("image_id", "ref", "ref_box", "permitted")).filter(g.iou_at_least("box", "ref_box", 1, 2))
     tests = F.array_compact(F.array(F.lit("m50"), F.when(F.array_contains("permitted", F.col("class")) & g.iou_at_least("box", "ref_box", 3, 4), "n75")))

@@ -43,15 +43,19 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str = "image_id", left_
 def best_overlap(left: DataFrame, right: DataFrame, left_keys: list[str], order: str, threshold: tuple[int, int] = (1, 2), key: str = "image_id", left_box: str = "box", right_box: str = "ref_box", keep: list[str] | None = None) -> DataFrame:
     """Every left row with its best overlapping right row of IoU >= threshold, else nulls.
 
-    The best has the highest IoU and, of equal ones, the lowest order. Adds ``overlap`` and the kept
-    columns of the right side. Pairs are reduced by a partial max before anything else is shuffled.
+    left_keys name a left row and hold the key. The best has the highest IoU and, of equal ones, the lowest
+    order. Adds ``overlap`` and the kept columns of the right side. One outer join by the key, with the
+    overlap as its residual condition; the rows of a left row are then reduced where they are.
     """
     keep = keep or []
-    pairs = overlap_join(left.select(*left_keys, left_box), right.select(key, order, right_box, *[c for c in keep if c != order]), key, left_box, right_box)
-    close = pairs.filter(g.iou_at_least(left_box, right_box, *threshold))
-    score = g.iou(left_box, right_box)
-    best = close.groupBy(*left_keys).agg(F.max_by(F.struct(score.alias("overlap"), *keep), F.struct(score, -F.col(order))).alias("__best"))
-    return left.join(best, left_keys, "left").withColumn("overlap", F.col("__best.overlap")).withColumns({c: F.col(f"__best.{c}") for c in keep}).drop("__best")
+    other = right.select(F.col(key).alias("__k"), F.col(right_box).alias("__box"), F.col(order).alias("__order"), F.struct(F.lit(True).alias("__any"), *keep).alias("__keep"))
+    joined = left.join(other, (F.col(key) == F.col("__k")) & g.iou_at_least(left_box, "__box", *threshold), "left")
+    score = g.iou(left_box, "__box")
+    rest = [c for c in left.columns if c not in left_keys]
+    best = F.max_by(F.struct(score.alias("overlap"), "__keep"), F.when(F.col("__order").isNotNull(), F.struct(score, -F.col("__order"))))
+    rows = joined.groupBy(*left_keys).agg(F.first(F.struct(*rest)).alias("__left"), best.alias("__best"))
+    columns = [F.col(c) if c in left_keys else F.col(f"__left.{c}") for c in left.columns]
+    return rows.select(*columns, F.col("__best.overlap"), *(F.col(f"__best.__keep.{c}") for c in keep))
 
 
 def containing_window(boxes: DataFrame, windows: DataFrame, box_keys: list[str], order: str, key: str = "image_id", box: str = "box", window: str = "window", keep: list[str] | None = None) -> DataFrame:
