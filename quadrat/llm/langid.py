@@ -22,10 +22,13 @@ from .toxicity import held_out
 #: words and n-grams of each length it keeps at most (the most frequent).
 TRAIN_ROWS, LANGUAGES, WORDS, GRAMS = 8_000, 200, 200_000, 60_000
 LONGEST = 4
+CELLS = 8_000_000  # words (or n-grams) times languages at most
 SMOOTH = 0.5
 #: Runs of letters (no digits, no underscores), with apostrophes inside.
 WORD = re.compile(r"[^\W\d_]+")
-CACHE = 200_000
+CACHE = 100_000
+#: Texts that are scored together.
+TEXTS = 256
 UNKNOWN = "und"
 
 
@@ -39,11 +42,12 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def _logs(counts: dict[str, np.ndarray], totals: np.ndarray, most: int) -> dict[str, np.ndarray]:
-    """Log frequencies by language of the most frequent keys, smoothed."""
+def _logs(counts: dict[str, np.ndarray], totals: np.ndarray, most: int) -> tuple[dict[str, int], np.ndarray]:
+    """The most frequent keys with their rows, and smoothed log frequencies by row and language."""
     best = sorted(counts, key=lambda k: (-counts[k].sum(), k))[:most]
     base = np.log(totals + SMOOTH * (len(counts) + 1))
-    return {k: (np.log(counts[k] + SMOOTH) - base).astype(np.float32) for k in best}
+    rows = np.log(np.stack([counts[k] for k in best]) + SMOOTH) - base if best else np.empty((0, len(totals)))
+    return {k: n for n, k in enumerate(best)}, rows
 
 
 def fit(seen: Iterator[tuple[str, str, int]]) -> dict:
@@ -67,52 +71,77 @@ def fit(seen: Iterator[tuple[str, str, int]]) -> dict:
                     row = tables[k][key] = np.zeros(len(langs))
                 row[i] += n
                 totals[k, i] += n
-    return {"langs": langs, "tables": [_logs(t, totals[k], WORDS if not k else GRAMS) for k, t in enumerate(tables)]}
+    most = max(1, CELLS // max(1, len(langs)))
+    return {"langs": langs, "tables": [_logs(t, totals[k], min(WORDS if not k else GRAMS, most)) for k, t in enumerate(tables)]}
 
 
-def backoff(model: dict, word: str) -> np.ndarray:
-    """A word's log score by language: the word's own, else the mean of its n-grams', the longest known ones first."""
-    tables = model["tables"]
-    known = tables[0].get(word)
-    if known is not None:
-        return known
-    total, n = np.zeros(len(model["langs"])), 0
-    marked = f" {word} "
-    covered = np.zeros(len(marked), bool)
-    for k in range(LONGEST, 0, -1):
-        for i in range(len(marked) - k + 1):
-            if covered[i : i + k].all():
-                continue
-            row = tables[k].get(marked[i : i + k])
-            if row is not None:
-                total += row
-                n += 1
-                covered[i : i + k] = True
-    return total / n if n else total
+def backoff(model: dict, words: list[str]) -> np.ndarray:
+    """Log scores by language of words that the model hasn't: the mean of their n-grams', one row a word.
+
+    Each character run is scored by its longest n-grams; where no language has one, by those one character
+    shorter that cover what is left.
+    """
+    tables, at, owner = model["tables"], [[] for _ in range(LONGEST + 1)], [[] for _ in range(LONGEST + 1)]
+    for n, word in enumerate(words):
+        marked = f" {word} "
+        size = len(marked)
+        left = [True] * size
+        for k in range(LONGEST, 0, -1):
+            table = tables[k][0]
+            found = [table.get(marked[i : i + k]) if True in left[i : i + k] else None for i in range(size - k + 1)]
+            for i, row in enumerate(found):
+                if row is not None:
+                    at[k].append(row)
+                    owner[k].append(n)
+                    left[i : i + k] = [False] * k
+            if True not in left:
+                break
+    total, count = np.zeros((len(words), len(model["langs"]))), np.zeros(len(words))
+    for k in range(1, LONGEST + 1):
+        if at[k]:
+            np.add.at(total, owner[k], tables[k][1][at[k]])
+            count += np.bincount(owner[k], minlength=len(words))
+    return total / np.maximum(count, 1)[:, None]
 
 
 class Scorer:
-    """Scores texts in one process; scores of words are kept, a bounded number of them."""
+    """Scores texts in one process. Rows of words met before are kept, a bounded number of them."""
 
     def __init__(self, model: dict) -> None:
-        self.model, self.kept = model, {}
+        self.model = model
+        self.reset()
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(words(text))
+    def reset(self) -> None:
+        known, rows = self.model["tables"][0] if self.model["langs"] else ({}, np.empty((0, 0)))
+        self.index, self.rows = dict(known), rows
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out = []
+        for at in range(0, len(texts), TEXTS):
+            out += self._score(texts[at : at + TEXTS])
+        return out
+
+    def _score(self, texts: list[str | None]) -> list[tuple[str, float]]:
         langs = self.model["langs"]
-        if not counts or not langs:
-            return UNKNOWN, 0.0
-        total = np.zeros(len(langs))
-        for word, n in counts.items():
-            row = self.kept.get(word)
-            if row is None:
-                row = backoff(self.model, word)
-                if len(self.kept) >= CACHE:
-                    self.kept.clear()
-                self.kept[word] = row
-            total += n * row
-        best = int(total.argmax())
-        return langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
+        counted = [Counter(words(x)) for x in texts]
+        if not langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        unseen = sorted(set().union(*counted) - self.index.keys())
+        if unseen:
+            if len(self.index) + len(unseen) > len(self.model["tables"][0][0]) + CACHE:
+                self.reset()
+                unseen = sorted(set().union(*counted) - self.index.keys())
+            self.index.update((w, len(self.rows) + i) for i, w in enumerate(unseen))
+            self.rows = np.concatenate((self.rows, backoff(self.model, unseen)))
+        index, out = self.index, []
+        for counts in counted:
+            if not counts:
+                out.append((UNKNOWN, 0.0))
+                continue
+            total = np.fromiter(counts.values(), np.float64, len(counts)) @ self.rows[[index[w] for w in counts]]
+            best = int(total.argmax())
+            out.append((langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())))
+        return out
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> dict:
@@ -144,7 +173,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            made = [scorer(x) for x in batch["text"]]
+            made = scorer(batch["text"].tolist())
             yield pd.DataFrame({"id": batch["id"], "lang_pred": [m[0] for m in made], "score": [m[1] for m in made]})
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
