@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quadrat.functions import geometry as g
 
 from .accept import DIMENSIONS
+from .lineage import cut
 
 
 def unresolved(dimensions: tuple[str, ...] = DIMENSIONS) -> Column:
@@ -21,23 +22,32 @@ def difficulty() -> list[Column]:
 
 
 def queue(objects: DataFrame, by: list[str], limit: int | None = None, pooled: bool = False) -> DataFrame:
-    """objects with rank from 1: within each group of ``by``, or over all groups (pooled) by range, then in order.
+    """objects with rank from 1: within each group of ``by``, or over all groups (pooled).
 
-    objects have pos, box, unresolved, verified, verifier_overlap and score. Pooled ranks come from a
-    window per number of unresolved dimensions after counts of the worse ones, so no window sees all rows
-    unless all are equally unresolved. limit 0 or None keeps all.
+    objects have pos, box, unresolved, verified, verifier_overlap and score; by and pos name a row. limit 0
+    or None keeps all.
     """
-    if not pooled:
-        ranked = objects.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*difficulty(), "pos")))
+    if pooled:
+        ranked = global_rank(objects, [*difficulty(), *map(F.col, by), F.col("pos")], "rank")
     else:
-        sizes = objects.groupBy("unresolved").agg(F.count("*").alias("__n"))
-        worse = F.coalesce(F.sum("__n").over(Window.orderBy(F.col("unresolved").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        before = sizes.select("unresolved", worse.alias("__before"))
-        inside = F.row_number().over(Window.partitionBy("unresolved").orderBy(*difficulty()[1:], *by, "pos"))
-        ranked = objects.withColumn("__in", inside).join(F.broadcast(before), "unresolved").withColumn("rank", F.col("__before") + F.col("__in")).drop("__before", "__in")
+        ranked = objects.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*difficulty(), "pos")))
     return ranked.filter(F.col("rank") <= limit) if limit else ranked
 
 
+def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with its place in a total order, without a task that sees all rows.
+
+    Rows are partitioned by range and numbered inside their partition; the number of rows before a
+    partition comes from one count a partition. The partitioning is written down, so every use agrees.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    placed = ranged.withColumn("__in", inside).join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part")
+    return placed.withColumn(name, F.col("__before") + F.col("__in")).drop("__part", "__in", "__before")
+
+
 def budget_curve(ranked: DataFrame, kind: str, budgets: list[int]) -> DataFrame:
     """(budget, kind, n): rows of each kind within the first ranks."""
     at = ranked.withColumn("budget", F.explode(F.array(*map(F.lit, budgets)))).filter(F.col("rank") <= F.col("budget"))
@@ -76,7 +86,8 @@ def stratified_sample(population: DataFrame, size: int, strata: list[str], keys:
     quota = F.greatest(F.lit(1), F.rint(F.lit(float(size)) * F.col("__n") / F.lit(float(total))))
     place = seeded_order(seed, *keys)
     ranked = population.join(F.broadcast(counts), strata).withColumn("__at", place).withColumn("__rank", F.row_number().over(Window.partitionBy(*strata).orderBy("__at", *keys)))
-    taken = ranked.filter(F.col("__rank") <= quota).drop("__n", "__rank")
+    # no quota is above size: as a literal it lets each task keep only the first rows of a stratum
+    taken = ranked.filter(F.col("__rank") <= size).filter(F.col("__rank") <= quota).drop("__n", "__rank")
     return taken.orderBy(F.md5(F.concat(F.lit("trim|"), "__at")), *keys).limit(size).drop("__at")
 
 

@@ -466,6 +466,21 @@ def test_incremental_runs_only_what_is_new(spark, tmp_path):
     assert seen == [[0, 1, 2], [3, 4]] and out.count() == 5
 
 
+def test_stream_sessions_and_repeats(spark, tmp_path):
+    rows = [("u", 0), ("u", 60), ("u", 4000), ("v", 10), ("v", 10)]
+    df = spark.createDataFrame(rows, "user string, t long").select("user", F.timestamp_seconds("t").alias("ts"))
+    df.write.parquet(f"{tmp_path}/in")
+    for name, mode, made in (("sessions", "complete", lambda s: stream.sessions(s, "ts", ["user"], "10 minutes", "1 second")), ("firsts", "append", lambda s: stream.first_seen(s, "ts", ["user", "ts"], "10 hours"))):
+        source = stream.records(spark, f"{tmp_path}/in", df.schema)
+        made(source).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.user, r.n) for r in spark.table("sessions").collect()) == [("u", 1), ("u", 2), ("v", 2)]
+    assert spark.table("firsts").count() == 4
+
+
+def test_map_as_canonical_json(spark):
+    assert value(spark, text.canonical_map(F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2)))) == '{"a":2,"b":1}'
+
+
 def test_stream_by_batch(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "image_id int, v string")
     df.write.parquet(f"{tmp_path}/in")
