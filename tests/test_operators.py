@@ -468,7 +468,7 @@ def test_incremental_runs_only_what_is_new(spark, tmp_path):
 
 def test_stream_sessions_and_repeats(spark, tmp_path):
     rows = [("u", 0), ("u", 60), ("u", 4000), ("v", 10), ("v", 10)]
-    df = spark.createDataFrame(rows, "user string, t long").select("user", F.timestamp_seconds("t").alias("ts"))
+    df = spark.createDataFrame(rows, "user string, t long").select("user", F.timestamp_seconds(F.col("t") + 1_000_000_000).alias("ts"))
     df.write.parquet(f"{tmp_path}/in")
     for name, mode, made in (("sessions", "complete", lambda s: stream.sessions(s, "ts", ["user"], "10 minutes", "1 second")), ("firsts", "append", lambda s: stream.first_seen(s, "ts", ["user", "ts"], "10 hours"))):
         source = stream.records(spark, f"{tmp_path}/in", df.schema)
