@@ -11,7 +11,9 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*|[^ {MARK}]+")
 #: Chunks that a worker keeps, and the longest of them in characters.
 CACHE, CACHED_CHARS = 300_000, 48
 #: Texts whose distinct chunks are listed together.
-TEXTS = 256
+TEXTS = 128
 
 
 class Codec:
@@ -109,20 +111,27 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     decoded is its decode(ids). Rows are independent: repeated rows stay, an empty table gives none, and a
     text of any length is taken whole. The model file must be at that path on every worker.
     """
+    kinds = {"id": docs.schema[id_col].dataType, "n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType())}
     names = ["id", "n_tokens", *(["ids", "decoded"] if ids else []), "ids_sha256", "decoded_sha256"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
         for batch in batches:
-            rows = []
-            for key, (n, line, decoded) in zip(batch["id"], own(batch["text"].tolist())):
-                listed = [[int(x) for x in line.split(",")] if line else [], decoded] if ids else []
-                rows.append([key, n, *listed, _sha(line), _sha(decoded)])
-            yield pd.DataFrame(rows, columns=names)
+            for at in range(0, batch.num_rows, TEXTS):  # a few texts' ids at a time
+                part = batch.slice(at, TEXTS)
+                made = list(own(part.column(1).to_pylist()))
+                columns = {"id": part.column(0), "n_tokens": pa.array([m[0] for m in made], pa.int64())}
+                if ids:
+                    values = [np.array(m[1].split(","), np.int32) for m in made if m[1]]
+                    ends = np.cumsum([0, *(m[0] for m in made)]).astype(np.int32)
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.empty(0, np.int32)))
+                    columns["decoded"] = pa.array([m[2] for m in made], pa.string())
+                columns["ids_sha256"] = pa.array([_sha(m[1]) for m in made])
+                columns["decoded_sha256"] = pa.array([_sha(m[2]) for m in made])
+                yield pa.RecordBatch.from_pydict(columns)
 
-    kinds = {"id": docs.schema[id_col].dataType, "n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType())}
     schema = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
