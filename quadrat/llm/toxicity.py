@@ -55,7 +55,7 @@ class Terms:
                 terms = tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) >> 1 for x in data)
                 seen[word] = terms
             found.update(terms)
-        return np.fromiter(found, np.int64, len(found))
+        return np.fromiter(found, np.int32, len(found))
 
 
 def _forward(model: dict, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +73,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> dic
     """A machine from hashed terms and 0/1 labels; without both labels it scores the share of ones."""
     n = len(rows)
     rate = float((labels.sum() + 0.5) / (n + 1)) if n else 0.0
-    terms, df = np.unique(np.concatenate(rows), return_counts=True) if n else (np.empty(0, np.int64), np.empty(0, np.int64))
+    terms, df = np.unique(np.concatenate(rows), return_counts=True) if n else (np.empty(0, np.int32), np.empty(0, np.int64))
     terms = _telling(rows, labels, terms, df) if n else terms
     rng = np.random.default_rng(7)
     model = {"terms": terms, "w": np.zeros(len(terms)), "v": rng.normal(0, 0.01, (len(terms), FACTORS)), "bias": float(np.log(rate / (1 - rate))) if 0 < rate < 1 else -20.0}
@@ -149,9 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id")))
     sample = usable.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    data = texts.mapInPandas(_hash_batches, "id long, label int, terms array<long>").toArrow().to_pandas()
-    terms = [np.asarray(x, np.int64) for x in data["terms"]]
-    order = sorted(range(len(terms)), key=lambda i: (data["id"][i], len(terms[i]), terms[i].tolist()))
+    data = texts.mapInPandas(_hash_batches, "id long, label int, terms array<int>").toArrow().to_pandas()
+    terms = [np.asarray(x, np.int32) for x in data["terms"]]
+    order = sorted(range(len(terms)), key=lambda i: (data["id"][i], len(terms[i]), zlib.crc32(terms[i].tobytes())))
     return fit([terms[i] for i in order], data["label"].to_numpy(np.float64)[order])
 
 
