@@ -203,7 +203,7 @@ def diagnose_separability(spark, sf):
 THRESHOLDS = (0.0, 0.2, 0.4, 0.5, 0.6, 0.8)
 
 
-@query(f"""WITH {OBS}, {REFS}, {PAIRS}, t AS (SELECT * FROM (VALUES {', '.join(f'({x})' for x in THRESHOLDS)}) t(threshold)), k AS (SELECT threshold, count(*) AS kept FROM obs, t WHERE score_milli/1000 >= threshold GROUP BY 1),
+@query(f"""WITH {OBS}, {REFS}, {PAIRS}, t AS (SELECT * FROM (VALUES {', '.join(f'({x}::DOUBLE)' for x in THRESHOLDS)}) t(threshold)), k AS (SELECT threshold, count(*) AS kept FROM obs, t WHERE score_milli/1000 >= threshold GROUP BY 1),
 m AS (SELECT threshold, count(DISTINCT (image_id, ref)) AS matched_kept FROM ov, t WHERE eligible AND 2*i >= u AND score_milli/1000 >= threshold GROUP BY 1),
 z AS (SELECT (SELECT count(*) FROM obs) AS total, (SELECT count(*) FROM refs WHERE eligible) AS nr, (SELECT count(DISTINCT (image_id, ref)) FROM ov WHERE eligible AND 2*i >= u) AS mt),
 r AS (SELECT threshold, coalesce(kept,0) AS kept, total-coalesce(kept,0) AS removed, coalesce(matched_kept,0) AS matched_kept, mt-coalesce(matched_kept,0) AS matched_removed, mt, total, nr FROM t LEFT JOIN k USING (threshold) LEFT JOIN m USING (threshold), z),

@@ -121,7 +121,7 @@ def math_wilson(spark, sf):
     return c.select("user_id", "n", "k", F.floor(w["low"] * 1e9).alias("low"), F.floor(w["high"] * 1e9).alias("high"))
 
 
-@query(f"""WITH {OBS} SELECT CASE WHEN score_milli < 300 THEN 0.1 WHEN score_milli >= 400 AND score_milli < 700 THEN 0.55 WHEN score_milli >= 700 THEN 0.9 END AS probability, count(*) AS n FROM obs GROUP BY 1""")
+@query(f"""WITH {OBS} SELECT CAST(CASE WHEN score_milli < 300 THEN 0.1 WHEN score_milli >= 400 AND score_milli < 700 THEN 0.55 WHEN score_milli >= 700 THEN 0.9 END AS DOUBLE) AS probability, count(*) AS n FROM obs GROUP BY 1""")
 def math_calibrated(spark, sf):
     bins = ((0.0, 0.3, 0.1), (0.4, 0.7, 0.55), (0.7, 1.0, 0.9))
     return observations(spark, sf).groupBy(stats.binned(F.col("score_milli") / 1000, bins).alias("probability")).agg(F.count("*").alias("n"))

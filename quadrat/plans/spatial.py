@@ -69,7 +69,7 @@ def geo_edges_and_faults(spark, sf):
     return observations(spark, sf).select("image_id", "idx", g.touches_edge("box", SIZE, SIZE).alias("touches"), g.box_fault("box", 64, 64).alias("fault"))
 
 
-@query(f"""WITH {OBS} SELECT image_id, idx, 2.0*x1+3.0 AS x1, 0.5*y1-1.0 AS y1, 2.0*x2+3.0 AS x2, 0.5*y2-1.0 AS y2 FROM obs""")
+@query(f"""WITH {OBS} SELECT image_id, idx, CAST(2.0*x1+3.0 AS DOUBLE) AS x1, CAST(0.5*y1-1.0 AS DOUBLE) AS y1, CAST(2.0*x2+3.0 AS DOUBLE) AS x2, CAST(0.5*y2-1.0 AS DOUBLE) AS y2 FROM obs""")
 def geo_transform(spark, sf):
     moved = observations(spark, sf).select("image_id", "idx", g.transform("box", ((2, 0, 3), (0, 0.5, -1), (0, 0, 1))).alias("box"))
     return moved.select("image_id", "idx", *flat())
