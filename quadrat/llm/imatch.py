@@ -47,14 +47,18 @@ def lexicon(docs: DataFrame, text_col: str = "text", rare: float = RARE, common:
     return kept.select("term", mask.alias("mask")).unionByName(none)
 
 
-def digests(texts: DataFrame, terms: DataFrame, keys: list[str], text_col: str, broadcast: bool) -> DataFrame:
-    """keys and fingerprint for each row of texts, which keys name; without a term of a subset its digest is NONE.
+def digests(texts: DataFrame, terms: DataFrame, keys: list[str], text_col: str, broadcast: bool, carried: list[str] | None = None) -> DataFrame:
+    """keys, fingerprint and the carried columns for each row of texts, which keys name; without a term of a subset its digest is NONE.
 
-    Where texts is partitioned by some of the keys, a row's terms meet without another shuffle.
+    Where texts is partitioned by some of the keys, a row's terms meet without another shuffle. Carried
+    columns go with the empty word alone, so the many rows of terms stay narrow.
     """
-    found = texts.select(*keys, F.explode(words(F.col(text_col))).alias("term")).join(F.broadcast(terms) if broadcast else terms, "term")
-    listed = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("term", "mask"))).alias("held"))
-    return listed.select(*keys, F.concat(*(_digest(1 << k) for k in range(len(SUBSETS)))).alias("fingerprint"))
+    carried = carried or []
+    found = texts.select(*keys, *carried, F.explode(words(F.col(text_col))).alias("term")).join(F.broadcast(terms) if broadcast else terms, "term")
+    load = [F.struct(*carried)] if carried else []
+    found = found.select(*keys, F.when(F.col("term") != "", F.struct("term", "mask")).alias("held"), *(F.when(F.col("term") == "", x).alias("load") for x in load))
+    listed = found.groupBy(*keys).agg(F.sort_array(F.collect_list("held")).alias("held"), *(F.first("load", ignorenulls=True).alias("load") for _ in load))
+    return listed.select(*keys, *(F.col(f"load.{c}") for c in carried), F.concat(*(_digest(1 << k) for k in range(len(SUBSETS)))).alias("fingerprint"))
 
 
 def _digest(bit: int) -> Column:
@@ -101,7 +105,7 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty table gives no rows. The lexicon is of docs.
 
     Texts are shuffled once whole, by id (both joins read that shuffle), and once as the heads that edits
-    need. What names a row travels with its terms as grouping keys, so fingerprints need no shuffle.
+    need. What a row needs later travels with one of its terms, so fingerprints need no shuffle.
     """
     terms = cut(lexicon(docs, text_col))
     small = terms.count() <= BROADCAST_TERMS
@@ -119,12 +123,13 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     half = F.floor(chars / 2).cast("int")
     pairs = rows.filter("n > 0").join(heads, F.col("key") == F.col("to_key"))
     pairs = pairs.withColumn("edited", F.concat(F.substring(F.col("body"), F.lit(1), chars - half), F.substring(F.col("head"), F.lit(1), half)))
-    named = ["key", "sha", "n", "n_chars", "next_key", "next_sha", "edited_sha256", "own", "edited_own"]
-    pairs = pairs.select("key", "sha", "n", chars.cast("long").alias("n_chars"), "next_key", "next_sha", F.sha2("edited", 256).alias("edited_sha256"), _own(F.col("body")).alias("own"), _own(F.col("edited")).alias("edited_own"), "body", "edited")
+    carried = ["sha", "n", "n_chars", "next_key", "next_sha", "edited_sha256", "own", "edited_own"]
+    pairs = pairs.select("key", "sha", F.unhex("sha").alias("body_key"), "n", chars.cast("long").alias("n_chars"), "next_key", "next_sha", F.sha2("edited", 256).alias("edited_sha256"), _own(F.col("body")).alias("own"), _own(F.col("edited")).alias("edited_own"), "body", "edited")
     both = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("body").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"))))
-    texts = pairs.select(*named, both.alias("x")).select(*named, "x.kind", "x.t")
-    found = digests(texts, terms, [*named, "kind"], "t", small)
-    held = found.groupBy(*named).agg(*(F.max(F.when(F.col("kind") == k, F.col("fingerprint"))).alias(c) for k, c in enumerate(("fingerprint", "edited_fingerprint"))))
+    texts = pairs.select("key", "body_key", *carried, both.alias("x")).select("key", "body_key", *carried, "x.kind", "x.t")
+    found = digests(texts, terms, ["key", "body_key", "kind"], "t", small, carried)
+    prints = [F.max(F.when(F.col("kind") == k, F.col("fingerprint"))).alias(c) for k, c in enumerate(("fingerprint", "edited_fingerprint"))]
+    held = found.groupBy("key", *carried).agg(*prints)
     done = cut(held.withColumn("fingerprint", _filled(F.col("fingerprint"), F.col("own"))).withColumn("edited_fingerprint", _filled(F.col("edited_fingerprint"), F.col("edited_own"))).drop("own", "edited_own"))
     others = done.select(F.col("key").alias("k"), F.col("sha").alias("s"), F.col("fingerprint").alias("next_fp"))
     out = done.join(others, (F.col("next_key") == F.col("k")) & (F.col("next_sha") == F.col("s")))
