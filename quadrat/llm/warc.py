@@ -226,6 +226,10 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     index, folder = archive(pages, id_col, url_col, payload_col)
     back = cut(read(index, folder).drop("payload"))
-    whole = back.filter("record_type = 'response'").groupBy(F.col("record_id").alias("r")).agg(F.max("payload_bytes").alias("full_bytes"), F.max("payload_digest").alias("full_digest"))
-    joined = back.join(whole, F.col("refers_id") == F.col("r"), "left")
-    return joined.select("id", F.coalesce("payload_bytes", "full_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "full_digest").alias("payload_digest"), "record_type", "refers_to")
+    columns = ["id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    # only revisits are joined: responses refer to nothing, and their nulls would meet in one task
+    responses = back.filter("record_type = 'response'")
+    whole = responses.select(F.col("record_id").alias("r"), F.col("payload_bytes").alias("full_bytes"), F.col("payload_digest").alias("full_digest")).dropDuplicates(["r"])
+    revisits = back.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(whole, F.col("refers_id") == F.col("r"))
+    revisits = revisits.withColumnRenamed("full_bytes", "payload_bytes").withColumnRenamed("full_digest", "payload_digest")
+    return responses.select(*columns).unionByName(revisits.select(*columns))
