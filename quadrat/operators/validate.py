@@ -49,7 +49,8 @@ def cycles(edges: DataFrame, src: str = "src", dst: str = "dst", most: int = 64)
     """(src): nodes on a cycle of the directed graph, by trimming nodes without an edge in or out until none is left.
 
     What remains lies on a cycle or on a path between cycles; those on a cycle reach themselves, which a
-    bounded walk over the small remainder decides.
+    walk over the remainder decides. Each of its rounds doubles the length of the paths, and it goes on
+    until nothing new is reached; after most rounds without an end it raises.
     """
     left = cut(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).filter("s is not null and d is not null").distinct())
     n = left.count()
@@ -62,12 +63,14 @@ def cycles(edges: DataFrame, src: str = "src", dst: str = "dst", most: int = 64)
             break
         n = m
     reach = left.select("s", "d")
-    for _ in range(most.bit_length()):
+    for _ in range(most):
         longer = reach.join(left.select(F.col("s").alias("m"), F.col("d").alias("e")), F.col("d") == F.col("m")).select("s", F.col("e").alias("d"))
         wider = cut(reach.unionByName(longer).unionByName(reach.alias("a").join(reach.alias("b"), F.col("a.d") == F.col("b.s")).select(F.col("a.s").alias("s"), F.col("b.d").alias("d"))).distinct())
         if wider.count() == reach.count():
             break
         reach = wider
+    else:
+        raise RuntimeError(f"the walk did not settle in {most} rounds")
     return reach.filter("s = d").select(F.col("s").alias(src)).distinct()
 
 

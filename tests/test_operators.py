@@ -352,6 +352,14 @@ def test_cycles(spark):
     assert validate.cycles(edges.limit(0)).collect() == []
 
 
+def test_long_cycles(spark):
+    """A cycle of 200 edges with a path that leaves it; a limit that is too small raises."""
+    edges = spark.createDataFrame([(i, (i + 1) % 200) for i in range(200)] + [(5, 1000), (1000, 1001)], "src long, dst long")
+    assert sorted(r.src for r in validate.cycles(edges).collect()) == list(range(200))
+    with pytest.raises(RuntimeError):
+        validate.cycles(edges, most=3)
+
+
 def test_coordinate_ascent():
     calls = []
 
