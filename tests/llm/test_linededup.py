@@ -36,6 +36,16 @@ def test_repeated_rows(spark):
     assert sorted((r.doc_id, r.text) for r in linededup.dedup_lines(df).collect()) == [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "d")]
 
 
+def test_texts_that_share_an_id(spark):
+    """Different texts under a null or repeated id are documents of their own: each loses only its own repeats."""
+    rows = [(None, "p\nq\nr\nown"), (None, "1\n2\np\nq\nr"), (None, "u\nv\nw\nx\ny"), (7, "g\nh\ni"), (7, "j\nk\nl\nm"), (7, "g\nh\ni\nend"), (7, "g\nh\ni")]
+    got = [(r.doc_id, r.text) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(rows) and (None, "u\nv\nw\nx\ny") in got and (7, "j\nk\nl\nm") in got
+    null, seven = ([t for k, t in got if k == i] for i in (None, 7))
+    assert sorted(null) in (sorted(["p\nq\nr\nown", "1\n2", "u\nv\nw\nx\ny"]), sorted(["own", "1\n2\np\nq\nr", "u\nv\nw\nx\ny"]))
+    assert sorted(seven) in (sorted(["g\nh\ni"] * 2 + ["end", "j\nk\nl\nm"]), sorted(["", "", "g\nh\ni\nend", "j\nk\nl\nm"]))
+
+
 def test_empty(spark):
     assert linededup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
