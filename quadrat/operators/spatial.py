@@ -13,6 +13,7 @@ from quadrat.functions import geometry as g
 
 #: Vectors that a kNN bank may have to be sent to every worker, and its rows in one product.
 BANK_ROWS, BANK_BLOCK = 200_000, 8192
+QUERY_BLOCK = 256  # query vectors a worker scores at a time
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str = "image_id", left_box: str = "box", right_box: str = "ref_box", cell: int | None = None) -> DataFrame:
@@ -90,9 +91,11 @@ def nearest_row(left: DataFrame, right: DataFrame, value: Column, other: Column,
     return ids.join(best, "__row").withColumns({c: F.col(f"__near.{c}") for c in keep}).drop("__row", "__near")
 
 
-def knn_vote(queries: DataFrame, bank: DataFrame, k: int = 5, id_col: str = "id", vector_col: str = "vector", label_col: str = "label") -> DataFrame:
+def knn_vote(queries: DataFrame, bank: DataFrame, k: int = 5, id_col: str = "id", vector_col: str = "vector", label_col: str = "label", others: bool = False) -> DataFrame:
     """(id, label, votes, similarity, runner_up): the label with most of the k nearest bank vectors.
 
+    others leaves a query's own id out of its nearest, for a bank that holds the queries.
+
     Inner product of the given vectors; ties of similarity go to the smaller bank id, ties of votes to the
     higher similarity and then to the later label. A bank of at most BANK_ROWS vectors (checked) goes to all
     workers, which take products in blocks; a larger one is cut by id into parts of that size, one pass
@@ -110,15 +113,15 @@ def knn_vote(queries: DataFrame, bank: DataFrame, k: int = 5, id_col: str = "id"
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             vectors, ids, labels = shared.value
-            for batch in batches:
-                if not len(batch):
-                    continue
+            for batch in (whole[i : i + QUERY_BLOCK] for whole in batches for i in range(0, len(whole), QUERY_BLOCK)):
                 product = np.stack([np.asarray(v, np.float64) for v in batch[vector_col]])
                 score = np.concatenate([product @ vectors[i : i + BANK_BLOCK].T for i in range(0, len(vectors), BANK_BLOCK)], axis=1)
+                if others:
+                    score[batch[id_col].to_numpy()[:, None] == ids[None, :]] = -np.inf
                 top = np.argsort(-score, axis=1, kind="stable")[:, :k]
                 rows = np.repeat(np.arange(len(batch)), top.shape[1])
                 at = top.ravel()
-                yield pd.DataFrame({id_col: batch[id_col].to_numpy()[rows], "bank_id": ids[at], "label": labels[at], "similarity": score[rows, at]})
+                yield pd.DataFrame({id_col: batch[id_col].to_numpy()[rows], "bank_id": ids[at], "label": labels[at], "similarity": score[rows, at]})[score[rows, at] > -np.inf]
 
         made = queries.select(id_col, vector_col).mapInPandas(run, schema)
         found = made if found is None else found.unionByName(made)

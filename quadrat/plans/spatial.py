@@ -177,6 +177,13 @@ def join_knn_vote(spark, sf):
     return spatial.knn_vote(v.filter("id % 3 = 1"), v.filter("id % 3 = 0")).drop("similarity")
 
 
+@query()
+def join_knn_vote_all(spark, sf):
+    """Every vector labelled by the others: all are bank and query, a query's own id left out."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("label"))
+    return spatial.knn_vote(v, v, others=True).drop("similarity")
+
+
 @query(f"WITH {BEST} SELECT count(*) AS pairs, count(DISTINCT (image_id, ref)) AS hit FROM (SELECT image_id, ref FROM ov WHERE 2*i >= u GROUP BY 1, 2)")
 def match_counts(spark, sf):
     """Size of the one-to-one matching; in these tables an observation reaches one reference at most, so distinct references bound it."""

@@ -11,6 +11,7 @@ from quadrat.functions import geometry as g
 from quadrat.functions import labels as lb
 from quadrat.functions import stats, text
 from quadrat.operators import accept, adapters, assignment, cluster, diagnose, evaluate, review, search, spatial, tiles, validate, verify
+from quadrat.plans import spatial as plans
 from quadrat.sources import readers, writers
 from quadrat.sources.bridge import ONTOLOGY
 from quadrat.streaming import boxes as stream
@@ -238,6 +239,22 @@ def test_knn_vote_beats_nearest(spark):
     assert (r.label, r.votes, r.runner_up) == ("car", 2, "truck")
 
 
+def test_knn_vote_of_all(spark, sf, monkeypatch):
+    """Every vector of the table gets the label its five nearest others vote for, with the bank whole and in parts."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").collect()
+    e = np.array([r.embedding for r in rows], np.float64)
+    want = {}
+    for i, r in enumerate(rows):
+        near = sorted((-float(x), o.vec_id, f"c{o.label}") for x, o in zip(e @ e[i], rows) if o.vec_id != r.vec_id)[:5]
+        votes = {c: (sum(n[2] == c for n in near), max(-n[0] for n in near if n[2] == c), c) for _, _, c in near}
+        ranked = sorted(votes.values(), reverse=True)
+        want[r.vec_id] = (ranked[0][2], ranked[0][0], ranked[1][2] if len(ranked) > 1 else None)
+    for bank in (spatial.BANK_ROWS, 200):
+        monkeypatch.setattr(spatial, "BANK_ROWS", bank)
+        got = {r.id: (r.label, r.votes, r.runner_up) for r in plans.QUERIES["join_knn_vote_all"](spark, sf).collect()}
+        assert len(want) == len(rows) and got == want
+
+
 def test_bank_in_parts(spark, monkeypatch):
     rnd = random.Random(10)
     bank = spark.createDataFrame([(i, [rnd.random(), rnd.random()], f"l{i % 4}") for i in range(50)], "id long, vector array<double>, label string")
