@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quadrat.functions import geometry as g
 from quadrat.functions import labels as lb
 from quadrat.functions import stats, text
-from quadrat.operators import accept, review, spatial, validate
+from quadrat.operators import accept, cluster, review, spatial, validate
 from quadrat.operators.evaluate import ABSTAIN
 from quadrat.sources.bridge import LABELS, OBS, ONTOLOGY, REFS, SIZE, observations, references, table
 
@@ -210,6 +210,18 @@ def accept_alternatives(spark, sf):
     return made.select("image_id", "idx", F.array_join(F.transform("alternatives", lambda x: F.concat_ws(":", x["x1"].cast("string"), x["y1"].cast("string"))), ",").alias("alternatives"))
 
 
+@query()
+def accept_alternatives_all(spark, sf):
+    """Alternatives of every lead of the merge, from all members that it absorbed."""
+    obs = observations(spark, sf).withColumn("id", F.col("idx").cast("string")).withColumn("score", F.col("score_milli"))
+    made = cluster.merge(obs, ios=2.0).select("image_id", F.col("id").cast("int").alias("o"), F.col("lead").cast("int").alias("idx")).filter("o <> idx")
+    boxes = obs.select("image_id", "idx", "box", "score")
+    absorbed = made.join(boxes.select("image_id", F.col("idx").alias("o"), "box", F.struct(-F.col("score"), F.col("idx").cast("string")).alias("order")), ["image_id", "o"])
+    members = absorbed.join(boxes.select("image_id", "idx", F.col("box").alias("kept")), ["image_id", "idx"])
+    found = accept.distinct_alternatives(members, ["image_id", "idx"], "box", "kept", "order", SIZE, SIZE)
+    return found.select("image_id", "idx", F.array_join(F.transform("alternatives", lambda x: F.concat_ws(":", *(x[e].cast("string") for e in g.EDGES))), ",").alias("alternatives"))
+
+
 # ---- constraints ----------------------------------------------------------------------------------
 
 

@@ -11,8 +11,9 @@ from quadrat.functions import geometry as g
 from quadrat.functions import labels as lb
 from quadrat.functions import stats, text
 from quadrat.operators import accept, adapters, assignment, cluster, diagnose, evaluate, review, search, spatial, tiles, validate, verify
+from quadrat.plans import rules
 from quadrat.plans import spatial as plans
-from quadrat.sources import readers, writers
+from quadrat.sources import bridge, readers, writers
 from quadrat.sources.bridge import ONTOLOGY
 from quadrat.streaming import boxes as stream
 
@@ -567,3 +568,27 @@ def test_many_leads_in_one_image(spark):
         assert leads(df, ontology=ONTOLOGY) == fast and len({v[0] for v in fast.values()}) > 100
     finally:
         cluster.MANY = many
+
+
+def test_alternatives_of_all_leads(spark, sf):
+    """All observations lead or are absorbed; alternatives of each lead by brute force over its members."""
+    obs = bridge.observations(spark, sf).select("image_id", "idx", "box", "label", "score_milli").collect()
+    images = {}
+    for r in sorted(obs, key=lambda r: (-r.score_milli, str(r.idx))):
+        leads = images.setdefault(r.image_id, [])
+        for lead, members in leads:
+            w, h = (min(lead.box[k + 2], r.box[k + 2]) - max(lead.box[k], r.box[k]) for k in (0, 1))
+            size = sum((x.box[2] - x.box[0]) * (x.box[3] - x.box[1]) for x in (lead, r))
+            if lead.label == r.label and w > 0 and h > 0 and 2 * w * h >= size - w * h:
+                members.append(tuple(r.box))
+                break
+        else:
+            leads.append((r, []))
+    want = {}
+    for image, leads in images.items():
+        for lead, members in leads:
+            others = [b for b in dict.fromkeys(members) if b != tuple(lead.box)][: accept.MOST_ALTERNATIVES]
+            if others:
+                want[image, lead.idx] = ",".join(":".join(map(str, b)) for b in others)
+    got = {(r.image_id, r.idx): r.alternatives for r in rules.QUERIES["accept_alternatives_all"](spark, sf).collect()}
+    assert got == want and any(idx % 10 for _, idx in got)
