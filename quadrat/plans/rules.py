@@ -255,6 +255,14 @@ def validate_cycles(spark, sf):
     return validate.cycles(edges)
 
 
+@query()
+def validate_cycles_all(spark, sf):
+    """Customers on a cycle, over one edge of each customer by its own id."""
+    customers = table(spark, sf, "customer").select("c_custkey")
+    most = customers.agg(F.max("c_custkey").alias("most"))
+    return validate.cycles(customers.crossJoin(F.broadcast(most)).select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") * 7 + 3) % (F.col("most") + 1)).alias("dst")))
+
+
 @query(f"""WITH {OBS}, v AS (SELECT DISTINCT image_id, 'L' || job AS job FROM obs), p AS (SELECT DISTINCT image_id, 'L' || k AS job FROM obs, range(0, 7) AS r(k)),
 u AS (SELECT image_id, list(job ORDER BY job) AS l FROM (SELECT * FROM v EXCEPT SELECT * FROM p) GROUP BY 1), m AS (SELECT image_id, list(job ORDER BY job) AS l FROM (SELECT * FROM p EXCEPT SELECT * FROM v) GROUP BY 1)
 SELECT image_id, coalesce(array_to_string(u.l, ','), '') AS unknown, coalesce(array_to_string(m.l, ','), '') AS missing FROM u FULL JOIN m USING (image_id)""")

@@ -592,3 +592,18 @@ def test_alternatives_of_all_leads(spark, sf):
                 want[image, lead.idx] = ",".join(":".join(map(str, b)) for b in others)
     got = {(r.image_id, r.idx): r.alternatives for r in rules.QUERIES["accept_alternatives_all"](spark, sf).collect()}
     assert got == want and any(idx % 10 for _, idx in got)
+
+
+def test_cycles_of_all_customers(spark, sf):
+    ids = [r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()]
+    after = {i: (i * 7 + 3) % (max(ids) + 1) for i in ids}
+    want = set()
+    for i in ids:
+        at = after[i]
+        for _ in ids:
+            if at == i or at not in after:
+                break
+            at = after[at]
+        want |= {i} if at == i else set()
+    got = [r.src for r in rules.QUERIES["validate_cycles_all"](spark, sf).collect()]
+    assert len(got) > 25 and len(got) == len(set(got)) and set(got) == want
