@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,13 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of our own in local mode, and an error on a cluster."""
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if root and context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     if not root:
         if context.getCheckpointDir() is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="quadrat-checkpoint-"))
         root = context.getCheckpointDir()
     return root
@@ -34,6 +38,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a Parquet table of the shared folder, read again, and the table's path."""
+    path = f"{shared_root(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through the file system that Spark has for it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def join_hot(rows: DataFrame, names: DataFrame, key: str, size: str, share: int = 1000) -> DataFrame:
+    """rows joined with names (one row a key, size: rows of the key), without a task that gets a hot key's rows.
+
+    A key of at least one share-th of all rows is hot: there are at most ``share`` of them, which bounds
+    what is broadcast. The others are joined by shuffle. rows should be cut: they are read twice.
+    """
+    total = names.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) * share >= total
+    heavy = F.broadcast(names.filter(hot).drop(size))
+    rest = rows.join(F.broadcast(names.filter(hot).select(key)), key, "left_anti")
+    return rows.join(heavy, key).unionByName(rest.join(names.filter(~hot).drop(size), key))
+
+
 def following(ids: DataFrame, key: str = "key", bits: int = 12) -> DataFrame:
     """Each distinct key with ``next_key``: the next smaller one, and the largest after the smallest.
 

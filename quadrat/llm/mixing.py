@@ -17,8 +17,8 @@ SHARE = (3, 2)  # the budget: 150% of all words
 PASSES = 2
 SEED = "mix-1"
 KEY_BITS = 40
-#: Documents of one source in a window, about.
-BUCKET_ROWS = 4096
+#: Documents of one source in a window, about; and the buckets of them whose sums a window of the next level sees, in bits.
+BUCKET_ROWS, LEVEL_BITS = 256, 12
 #: Passes that are sorted together where the budget ends, unless they all tie.
 EDGE_ROWS = 50_000
 RANGES = 4096
@@ -99,6 +99,21 @@ def _cutoff(run: DataFrame, budget: float) -> tuple | None:
     return edge.filter(F.col("spent") > budget).agg(F.min("at")).first()[0]
 
 
+def _offsets(sums: DataFrame, bits: int) -> DataFrame:
+    """(place, bucket, offset): the sum of all buckets of a place before this one, numbered in so many bits.
+
+    Buckets are summed in groups of 2**LEVEL_BITS neighbours, those in groups of groups, and so on, so that
+    no window sees more rows than a group has.
+    """
+    up = F.shiftright("bucket", LEVEL_BITS)
+    before = F.sum("all").over(Window.partitionBy("place", up).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("all")
+    if bits <= LEVEL_BITS:
+        return sums.select("place", "bucket", before.alias("offset"))
+    above = _offsets(sums.groupBy("place", up.alias("bucket")).agg(F.sum("all").alias("all")), bits - LEVEL_BITS)
+    here = sums.select("place", "bucket", up.alias("up"), before.alias("own"))
+    return here.join(above.withColumnRenamed("bucket", "up"), ["place", "up"]).select("place", "bucket", (F.col("own") + F.col("offset")).alias("offset"))
+
+
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(id, source, size, n, source_size, target, copies): one row for each distinct (id, source, size).
 
@@ -119,10 +134,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     name = F.coalesce(F.col("id").cast("string"), F.lit("null"))
     queued = entries.join(side, F.col("source").eqNullSafe(F.col("s"))).drop("s", "entries")
     queued = queued.withColumn("name", name).withColumn("key", shuffle_key(name)).withColumn("words", F.col("size") * F.col("n")).withColumn("bucket", F.shiftright("key", KEY_BITS - bits))
-    sums = queued.groupBy("place", "bucket").agg(F.sum("words").alias("all"))
-    before = F.sum("all").over(Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("all")
+    offsets = _offsets(queued.groupBy("place", "bucket").agg(F.sum("words").alias("all")), bits)
     inside = Window.partitionBy("place", "bucket").orderBy("key", "name", "size").rowsBetween(Window.unboundedPreceding, 0)
-    run = queued.withColumn("run", F.sum("words").over(inside)).join(sums.select("place", "bucket", before.alias("offset")), ["place", "bucket"])
+    run = queued.withColumn("run", F.sum("words").over(inside)).join(offsets, ["place", "bucket"])
     run = cut(run.withColumn("run", F.col("run") + F.col("offset")).drop("offset", "bucket"))
     last = _cutoff(run, (total or 0) * SHARE[0] / SHARE[1])
     taken = F.lit(0)

@@ -5,6 +5,10 @@ most one, so two linked fingerprints share a variant of that segment with one bi
 Each distinct fingerprint is indexed under its 64 one-wildcard variants; fingerprints that meet under a
 variant are verified by their exact distance, and what survives is reduced to spanning links before it
 leaves the task. Components come from alternating star contraction.
+
+For a similarity (Jaccard) of shingle sets, which no number of differing bits stands for, a fingerprint has
+three words of 64 bits in twelve segments; what meets under a variant is a candidate if part of the
+fingerprint agrees, and is linked if the sets themselves are similar enough.
 """
 
 from __future__ import annotations
@@ -14,22 +18,32 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, join_hot, written
 
 WIDTH = 4  # words in a shingle
 DISTANCE = 4  # differing bits of linked fingerprints
 SEED = 42
-#: (first bit, bits) of each segment
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: (word, first bit, bits) of each segment
+SEGMENTS = ((0, 0, 21), (0, 21, 21), (0, 42, 22))
 #: Fingerprints under one variant that a single task compares; more are dealt out as pairs of blocks.
 BLOCK = 4096
 #: Hot variants that may be broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 100_000
 SMALL = 24
+#: Of similar texts: words in a shingle, least similarity, words of a fingerprint and their segments. A pair
+#: at 0.8 differs in 15% of the bits and shares a variant of some segment with probability 0.98, one at 0.85
+#: with 0.996. Longer segments (and more words) suit more documents: one variant holds N / 2**15 of N.
+SET_WIDTH, SIMILARITY, WORDS = 5, 0.8, 3
+SET_SEGMENTS = tuple((k, at, 16) for k in range(WORDS) for at in range(0, 64, 16))
+#: Differing bits of a candidate among the first word and the high half of the second: 3.3 deviations above
+#: the mean at 0.8, 4.5 below that of unrelated texts.
+SET_DISTANCE = 26
+#: Shingles of the texts that a task compares with each other, about; larger groups are dealt out as pairs of blocks.
+SHINGLES = 1_000_000
 
 
 def text_fingerprint(data: bytes, width: int = WIDTH) -> int:
@@ -67,47 +81,64 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_print_batches, schema)
 
 
-def variants(prints: DataFrame) -> DataFrame:
-    """(variant, bits): each fingerprint under its 64 one-wildcard variants, numbered in one int."""
-    keys = []
-    for first, bits in SEGMENTS:
-        segment = F.shiftrightunsigned("bits", first).bitwiseAND(F.lit((1 << bits) - 1))
-        keys += [(segment.bitwiseAND(F.lit(~(1 << i))) + F.lit((first + i) << 22)).cast("int") for i in range(bits)]
-    return prints.select("bits", F.explode(F.array(*keys)).alias("variant"))
+def _word(k: int) -> Column:
+    return F.col(f"bits{k}" if k else "bits")
+
+
+def _value(k: int, first: int, bits: int) -> Column:
+    return F.shiftrightunsigned(_word(k), first).bitwiseAND(F.lit((1 << bits) - 1))
+
 
+def _wildcards(value: Column, n: int, segments: tuple) -> list[Column]:
+    """The variants of segment n, from its value: the number of the bit set aside, over the other bits."""
+    shift, before = max(s[2] for s in segments), sum(s[2] for s in segments[:n])
+    return [(value.bitwiseAND(F.lit(~(1 << i))) + F.lit((before + i) << shift)).cast("int") for i in range(segments[n][2])]
 
-def hot_variants(prints: DataFrame, block: int = BLOCK) -> DataFrame:
+
+def variants(prints: DataFrame, carried: list[str], segments: tuple = SEGMENTS) -> DataFrame:
+    """(carried, variant): each fingerprint under its one-wildcard variants, numbered in one int."""
+    keys = [v for n, s in enumerate(segments) for v in _wildcards(_value(*s), n, segments)]
+    return prints.select(*carried, F.explode(F.array(*keys)).alias("variant"))
+
+
+def hot_variants(prints: DataFrame, block: int = BLOCK, segments: tuple = SEGMENTS) -> DataFrame:
     """(variant, parts): variants that may hold over block fingerprints.
 
-    A variant's fingerprints are those of two segment values, so counts of the three segment values of
-    each fingerprint (pre-aggregated) are enough: over block means over block / 2 for one of the two.
+    A variant's fingerprints are those of two segment values, so counts of the segment values of each
+    fingerprint (pre-aggregated) are enough: over block means over block / 2 for one of the two.
     """
-    values = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("bits", first).bitwiseAND(F.lit((1 << bits) - 1)).alias("v")) for k, (first, bits) in enumerate(SEGMENTS)]
+    values = [F.struct(F.lit(n).alias("k"), _value(*s).alias("v")) for n, s in enumerate(segments)]
     counted = prints.select(F.explode(F.array(*values)).alias("s")).groupBy("s.k", "s.v").count().filter(F.col("count") > block // 2)
     keys = F.lit(None)
-    for k, (first, bits) in enumerate(SEGMENTS):
-        keys = F.when(F.col("k") == k, F.array(*[(F.col("v").bitwiseAND(F.lit(~(1 << i))) + F.lit((first + i) << 22)).cast("int") for i in range(bits)])).otherwise(keys)
+    for n in range(len(segments)):
+        keys = F.when(F.col("k") == n, F.array(*_wildcards(F.col("v"), n, segments))).otherwise(keys)
     spread = counted.select(F.explode(keys).alias("variant"), "count")
     half = block // 2
     return spread.groupBy("variant").agg(F.sum("count").alias("n")).select("variant", (F.ceil(F.col("n") / half) + 1).cast("int").alias("parts"))
 
 
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints; the words of a row are added."""
+    counts = np.bitwise_count(a ^ b)
+    return counts if counts.ndim == 1 else counts.sum(axis=1, dtype=np.int64)
+
+
 def _spanning(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what distance connects in a group: each found print with the one that reached it."""
-    left, a, b = prints, [], []
-    frontier: list[np.uint64] = []
+    """Links that connect what distance connects in a group: each found print with the one that reached it, by row."""
+    left, a, b = np.arange(len(prints)), [], []
+    frontier: list[int] = []
     while len(left):
         if not frontier:
             frontier, left = [left[0]], left[1:]
         here = frontier.pop()
-        near = np.bitwise_count(left ^ here) <= distance
+        near = _differ(prints[left], prints[here]) <= distance
         if near.any():
             found = left[near]
-            a.append(np.full(len(found), here, np.uint64))
+            a.append(np.full(len(found), here))
             b.append(found)
             frontier.extend(found)
             left = left[~near]
-    empty = np.empty(0, np.uint64)
+    empty = np.empty(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
 
 
@@ -130,30 +161,32 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _group_links(key: np.ndarray, prints: np.ndarray, distance: int) -> tuple[list, list]:
-    """Links inside each run of equal keys."""
+    """Links inside each run of equal keys, named by the first word of the prints."""
     a, b = [], []
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.append(starts, len(key)))
     size = np.repeat(sizes, sizes)
     small = np.flatnonzero((size > 1) & (size <= SMALL))
-    k, p = key[small], prints[small]
+    first = prints if prints.ndim == 1 else prints[:, 0]
+    k, p, f = key[small], prints[small], first[small]
     for d in range(1, SMALL):
         if len(k) <= d:
             break
-        same = (k[d:] == k[:-d]) & (np.bitwise_count(p[d:] ^ p[:-d]) <= distance)
-        if same.any():
-            a.append(p[:-d][same])
-            b.append(p[d:][same])
+        same = np.flatnonzero(k[d:] == k[:-d])
+        same = same[_differ(p[same + d], p[same]) <= distance]
+        if len(same):
+            a.append(f[same])
+            b.append(f[same + d])
     for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
         x, y = _spanning(prints[s : s + n], distance)
-        a.append(x)
-        b.append(y)
+        a.append(first[s + x])
+        b.append(first[s + y])
     return a, b
 
 
 def _link_batches(distance: int):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, prints = np.empty(0, np.int64), np.empty(0, np.uint64)
+        key, prints = np.empty(0, np.int64), None
         a, b, held = [], [], 0
 
         def flush():
@@ -165,15 +198,18 @@ def _link_batches(distance: int):
             if not batch.num_rows:
                 continue
             key = np.concatenate((key, (batch.column(0).to_numpy().astype(np.int64) << 32) | batch.column(1).to_numpy()))
-            prints = np.concatenate((prints, batch.column(2).to_numpy().view(np.uint64)))
+            words = [w.view(f"u{w.dtype.itemsize}").astype(np.uint64) for w in (batch.column(i).to_numpy() for i in range(2, batch.num_columns))]
+            new = words[0] if len(words) == 1 else np.stack(words, axis=1)
+            prints = new if prints is None else np.concatenate((prints, new))
             whole = int(np.searchsorted(key, key[-1]))  # the last group may go on in the next batch
             x, y = _group_links(key[:whole], prints[:whole], distance)
             a, b = a + x, b + y
             key, prints = key[whole:], prints[whole:]
             if sum(map(len, a)) > 2 * held + 500_000:
                 held = flush()
-        x, y = _group_links(key, prints, distance)
-        a, b = a + x, b + y
+        if prints is not None:
+            x, y = _group_links(key, prints, distance)
+            a, b = a + x, b + y
         if sum(map(len, a)):
             flush()
             yield pa.RecordBatch.from_arrays([pa.array(a[0].view(np.int64)), pa.array(b[0].view(np.int64))], ["a", "b"])
@@ -181,25 +217,32 @@ def _link_batches(distance: int):
     return links
 
 
-def links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that connect all distinct fingerprints at most distance bits apart.
+def _pair(own: Column, parts: Column) -> Column:
+    """The pairs of blocks, as one int each, that a row of block own meets in."""
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(j, own) * F.lit(32768) + F.greatest(j, own))
+
+
+def links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK, segments: tuple = SEGMENTS, carried: tuple = ("bits",)) -> DataFrame:
+    """(a, b): links that connect all distinct fingerprints that share a variant and differ in at most distance bits.
 
-    prints has distinct ``bits``. Variants that hold more than block fingerprints are dealt out as pairs of
-    blocks, so that a task compares at most about 2 * block of them and no pair is lost.
+    prints has distinct fingerprints; the carried words are compared, the first of them names a fingerprint.
+    With the standard segments no pair within four bits is missed. Variants that hold more than block
+    fingerprints are dealt out as pairs of blocks, so that a task compares at most about 2 * block of them
+    and no pair is lost.
     """
-    if distance > 4:
+    if segments == SEGMENTS and distance > 4:
         raise ValueError("three segments with one wildcard find up to four differing bits")
-    index = variants(prints)
-    hot = cut(hot_variants(prints, block))
+    index = variants(prints, list(carried), segments)
+    hot = cut(hot_variants(prints, block, segments))
     n = hot.count()
     if n:
         side = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
-        own = F.pmod(F.xxhash64("bits"), F.col("parts")).cast("int")
-        pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, own) * F.lit(32768) + F.greatest(j, own))
-        index = index.join(side, "variant", "left").select("variant", "bits", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(pair))).alias("pair"))
+        own = F.pmod(F.xxhash64(*carried), F.col("parts")).cast("int")
+        pair = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(_pair(own, F.col("parts"))))
+        index = index.join(side, "variant", "left").select("variant", *carried, F.explode(pair).alias("pair"))
     else:
         index = index.withColumn("pair", F.lit(0))
-    ordered = index.select("variant", F.col("pair").cast("int").alias("pair"), "bits").repartition("variant", "pair").sortWithinPartitions("variant", "pair")
+    ordered = index.select("variant", F.col("pair").cast("int").alias("pair"), *carried).repartition("variant", "pair").sortWithinPartitions("variant", "pair")
     return ordered.mapInArrow(_link_batches(distance), "a long, b long")
 
 
@@ -237,15 +280,149 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives no rows. Exact copies meet in one fingerprint and are never paired.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
-    first = cut(prints.groupBy("bits").agg(F.min("id").alias("first")))
+    first = cut(prints.groupBy("bits").agg(F.min("id").alias("first"), F.count("*").alias("rows")))
     found = components(links(first.select("bits"), distance))
-    rooted = first.join(found, F.col("bits") == F.col("node"), "left").select("bits", "first", F.coalesce("root", "bits").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.select("bits", "root").join(names, "root").select("bits", "component_id")
-    return prints.join(named, "bits").select("id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = cut(first.join(found, F.col("bits") == F.col("node"), "left").select("bits", "first", "rows", F.coalesce("root", "bits").alias("root")))
+    names = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members")))
+    named = cut(join_hot(rooted.select("bits", "rows", "root"), names, "root", "members").select("bits", "rows", "component_id"))
+    return join_hot(prints, named, "bits", "rows").select("id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs whose id names their component: one document of each group, with docs' columns."""
-    keep = near_duplicates(docs, id_col, text_col, distance).filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__kept_id")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
+def shingle_set(data: bytes, width: int = SET_WIDTH) -> np.ndarray:
+    """The sorted distinct hashes of a UTF-8 text's shingles of lower-case words; empty without words."""
+    words = data.lower().split()
+    joined = b" ".join(words)
+    if len(words) < width:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if words else [], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends[width - 1 :].tolist())), np.uint64, len(words) - width + 1))
+
+
+def wide_print(hashes: np.ndarray, words: int = WORDS) -> list[int]:
+    """The signed words of a set's fingerprint: majorities of the bits of each hash, remixed for each further word."""
+    out = []
+    for k in range(words):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 65536):
+            h = hashes[at : at + 65536]
+            if k:
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB + 2 * k)
+                h = h ^ (h >> np.uint64(31))
+            counts += np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def _set_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batch's other columns, and of its last, the text: a digest of the shingle set, its size and its fingerprint."""
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1).cast(pa.binary()).fill_null(b"").dictionary_encode()
+        made = []
+        for x in texts.dictionary.to_pylist():
+            hashes = shingle_set(x)
+            made.append((np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).astype(np.int64), len(hashes), *wide_print(hashes)))
+        at = texts.indices.to_numpy()
+        columns = [pa.array(np.array(c, np.int64)[at]) for c in zip(*made)] if made else [pa.array([], pa.int64())] * (2 + WORDS)
+        names = ["digest", "n", "bits", *(f"bits{k}" for k in range(1, WORDS))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], *names])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batch's other columns and, for its last, the text, the sorted hashes of its shingles; few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            made = [shingle_set((x or "").encode()).view(np.int64) for x in part.column(part.num_columns - 1).to_pylist()]
+            ends = pa.array(np.cumsum([0, *map(len, made)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(made)))], [*part.schema.names[:-1], "hashes"])
+
+
+def _similar(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links by row that connect what similarity connects among sets, by the exact Jaccard of each pair looked at."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    left, a, b = np.arange(len(sets)), [], []
+    frontier: list[int] = []
+    while len(left):
+        if not frontier:
+            frontier, left = [left[0]], left[1:]
+        here = frontier.pop()
+        own = sets[here]
+        near = left[np.minimum(sizes[left], len(own)) >= similarity * np.maximum(sizes[left], len(own))]
+        if not len(near):
+            continue
+        flat = np.concatenate([sets[i] for i in near])
+        at = np.minimum(np.searchsorted(own, flat), max(len(own) - 1, 0))
+        hit = own[at] == flat if len(own) else np.zeros(len(flat), bool)
+        both = np.bincount(np.repeat(np.arange(len(near)), sizes[near]), hit, len(near))
+        found = near[both >= similarity * (sizes[near] + len(own) - both) - 1e-9]
+        a += [int(here)] * len(found)
+        b += found.tolist()
+        frontier.extend(found)
+        left = np.setdiff1d(left, found, assume_unique=True)
+    return a, b
+
+
+def _verify_batches(similarity: float):
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, digests, sets = None, [], []
+
+        def done():
+            a, b = _similar(sets, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([digests[i] for i in a], pa.int64()), pa.array([digests[i] for i in b], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            hashes = batch.column(3)
+            values, ends = hashes.flatten().to_numpy().view(np.uint64), hashes.offsets.to_numpy() - hashes.offsets[0].as_py()
+            for i, (root, pair, digest) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                if (root, pair) != held:
+                    if len(sets) > 1:
+                        yield done()
+                    held, digests, sets = (root, pair), [], []
+                digests.append(digest)
+                sets.append(values[ends[i] : ends[i + 1]].copy())
+        if len(sets) > 1:
+            yield done()
+
+    return verify
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingles: int = SHINGLES) -> DataFrame:
+    """One row of docs, with its columns, for each group of near copies.
+
+    Near copies are texts whose sets of five-word shingles (lower-case words; fewer words: the whole text)
+    have a Jaccard similarity of at least ``similarity``, and what such links connect. Equal sets, and texts
+    without words (null among them), are copies of each other. The row with the smallest id stays, a null id
+    last, then by a hash of id and text; of rows that repeat id and text, any one. Sets are told apart by 64
+    bits. An empty table gives no rows.
+
+    Candidates come from shared variants of a wide fingerprint (recall at ``SET_SEGMENTS``) and each link is
+    checked on the sets themselves. Whole texts are shuffled once, by row, and only the candidates' again.
+    """
+    h1, h2 = F.xxhash64(id_col, text_col, F.col(id_col).isNull()), F.xxhash64(F.lit("row"), F.col(text_col).isNull(), text_col, id_col)
+    keyed = docs.withColumns({"__h1": h1, "__h2": h2})
+    kinds = [T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("h1", "h2", "digest", "n", "bits", *(f"bits{k}" for k in range(1, WORDS))))]
+    rows = keyed.select(F.col(id_col).alias("id"), F.col("__h1").alias("h1"), F.col("__h2").alias("h2"), F.col(text_col).cast("string").alias("text")).mapInArrow(_set_prints, T.StructType(kinds))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2")
+    words = ["bits", *(f"bits{k}" for k in range(1, WORDS))]
+    sets = cut(rows.groupBy("digest").agg(F.min(order).alias("first"), F.first("n").alias("n"), *(F.first(w).alias(w) for w in words)))
+    half = F.shiftright("bits1", 32).cast("int").alias("half")
+    found = components(links(sets.select(*words, half).dropDuplicates(words), SET_DISTANCE, BLOCK, SET_SEGMENTS, ("bits", "half")))
+    rooted = cut(sets.join(found, F.col("bits") == F.col("node"), "left").select("digest", "first", "n", F.coalesce("root", "bits").alias("root")))
+    total = F.sum(F.col("n") + 1)
+    busy = cut(rooted.groupBy("root").agg(F.count("*").alias("members"), F.when(total <= 2 * shingles, 1).otherwise(F.ceil(total / shingles) + 1).cast("int").alias("parts")).filter("members > 1"))
+    grouped = cut(join_hot(rooted, busy, "root", "members").select("digest", "root", "parts"))
+    reps = rooted.join(grouped.select("digest", "parts"), "digest", "left").select(F.col("first.h1").alias("__h1"), F.col("first.h2").alias("__h2"), F.col("digest").alias("__digest"), F.when(F.col("parts").isNotNull(), F.col("root")).alias("__root"), F.col("parts").alias("__parts"))
+    single = Window.partitionBy("__h1", "__h2").orderBy("__digest")
+    kept, _ = written(keyed.join(reps, ["__h1", "__h2"]).withColumn("__n", F.row_number().over(single)).filter("__n = 1").drop("__n", "__h1", "__h2"))
+    alone, unsure = kept.filter("__root is null").select(*docs.columns), kept.filter("__root is not null")
+    own = F.pmod(F.xxhash64("__digest"), F.col("__parts")).cast("int")
+    dealt = unsure.select(F.col("__root").alias("root"), F.explode(F.array_distinct(_pair(own, F.col("__parts")))).alias("pair"), F.col("__digest").alias("digest"), F.col(text_col).cast("string").alias("text"))
+    schema = "root long, pair int, digest long, hashes array<long>"
+    linked = dealt.mapInArrow(_sets, schema).repartition("root", "pair").sortWithinPartitions("root", "pair").mapInArrow(_verify_batches(similarity), "a long, b long")
+    same = components(linked)
+    firsts = rooted.select("digest", "first").join(same, F.col("digest") == F.col("node"), "left").select("digest", "first", F.coalesce("root", "digest").alias("group"))
+    stay = firsts.groupBy("group").agg(F.min(F.struct("first", "digest")).alias("best")).select(F.col("best.digest").alias("__digest"))
+    return alone.unionByName(unsure.join(stay, "__digest", "left_semi").select(*docs.columns))

@@ -68,6 +68,8 @@ def test_hot_source(spark, monkeypatch):
     monkeypatch.setattr(mixing, "EDGE_ROWS", 5)
     rows = [(i, "w " * (i * 37 % 91), "hot" if i % 3 else f"s{i % 5}") for i in range(400)]
     check(spark, rows, bucket_rows=16)
+    monkeypatch.setattr(mixing, "LEVEL_BITS", 2)
+    check(spark, rows, bucket_rows=2)
 
 
 def test_all_equal(spark):

@@ -81,8 +81,69 @@ def test_path_and_star_components(spark):
     assert found == {i: 0 for i in range(1, 101)} | {1000 + i: 1000 for i in range(1, 50)} | {5000: 4000}
 
 
-def test_keep_one(spark):
-    df = spark.createDataFrame([(1, "a b c d", "p"), (2, "a b c d", "q"), (3, "something else entirely here now", "r")], "doc_id long, text string, component_id string")
-    got = simhash.keep_one(df)
-    assert got.columns == df.columns
-    assert sorted(r.doc_id for r in got.collect()) == [1, 3]
+def brute_kept(rows, similarity=0.8):
+    """rows: (id, text) -> ids that stay, by the exact Jaccard of five-word shingle sets of all pairs."""
+    sets = []
+    for _, text in rows:
+        words = (text or "").encode().lower().split()
+        sets.append({b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = []
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both and both >= similarity * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                pairs.append((i, j))
+                root[find(i)] = find(j)
+    groups = {}
+    for i, (k, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append(k)
+    return sorted((min(g, key=lambda k: (k is None, k or 0)) for g in groups.values()), key=str), pairs
+
+
+def kept(spark, rows, **more):
+    df = spark.createDataFrame([(*r, "p", 1) for r in rows], "doc_id long, text string, digest string, root int")
+    got = simhash.keep_one(df, **more)
+    assert got.columns == df.columns and got.dtypes == df.dtypes
+    return sorted((r.doc_id for r in got.collect()), key=str)
+
+
+def edited(rnd, words, share):
+    return " ".join(f"new{rnd.randint(0, 9999)}" if rnd.random() < share else w for w in words)
+
+
+def test_keep_one_row_of_each_group(spark):
+    rows = [(1, "a b c d"), (None, "a b c d"), (None, "other"), (None, "other"), (2, "x y z"), (5, "X  y\tz"), (5, "else"), (7, None), (8, ""), (9, " \n"), (5, "else"), (11, "w " * 30_000), (12, "w w w w w w")]
+    assert kept(spark, rows) == brute_kept(rows)[0] == sorted([1, None, 2, 5, 7, 11], key=str)
+    assert kept(spark, []) == []
+    whole = spark.createDataFrame([(2, "a b c"), (2, "a b c"), (3, "A b C"), (4, "z")], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(whole).collect())) == [(2, "a b c"), (4, "z")]
+
+
+def test_keep_one_finds_similar_texts(spark):
+    """Edited copies at all similarities around 0.8: groups equal those of all pairs, also when dealt out in blocks."""
+    rnd = random.Random(5)
+    rows = []
+    for _ in range(60):
+        words = [f"w{rnd.randint(0, 3000)}" for _ in range(rnd.randint(40, 300))]
+        rows.append(" ".join(words))
+        rows += [edited(rnd, words, s) for s in (0.005, 0.01, 0.02, 0.03, 0.05)]
+    hot = [f"h{i}" for i in range(200)]
+    rows += [edited(rnd, hot, 0.01) for _ in range(150)]
+    rnd.shuffle(rows)
+    rows = list(enumerate(rows))
+    want, pairs = brute_kept(rows)
+    for shingles in (1_000_000, 3000):
+        assert kept(spark, rows, shingles=shingles) == want
+    # of the pairs themselves, found one by one
+    found = 0
+    for i, j in pairs[:400]:
+        prints = [simhash.wide_print(simhash.shingle_set(rows[k][1].encode())) for k in (i, j)]
+        found += any(((prints[0][k] ^ prints[1][k]) >> at & 0xFFFF).bit_count() <= 1 for k, at, _ in simhash.SET_SEGMENTS)
+    assert found >= 0.97 * 400
