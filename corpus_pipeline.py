@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quadrat.llm import linededup, mixing, pieces, simhash, toxicity
+from quadrat.llm import common, linededup, mixing, pieces, simhash, toxicity
 
 PIECES = "piece_bpe_32k.model"
 
@@ -19,7 +19,7 @@ def dedup_lines(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """The document with the smallest id of each group of near copies."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more; the smallest id stays."""
     return simhash.keep_one(docs)
 
 
@@ -39,8 +39,17 @@ ORACLE_SQL = None  # the machine, XXH64 shingles and the tokenizer are beyond SQ
 
 
 def run(spark, sf_dir):
-    """All stages over documents, one after another."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents, one after another, each over the table that the one before wrote.
+
+    Tables are in the shared folder; one that the next stage no longer needs is deleted. The last stage
+    is returned as it is, to be computed by its reader.
+    """
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for n, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES):
+            docs, path = common.written(docs)
+            if done:
+                common.remove(spark, done)
+            done = path
     return docs
