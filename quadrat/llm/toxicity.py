@@ -2,8 +2,9 @@
 
 score = sigmoid(bias + sum of w_i + sum over pairs of <v_i, v_j>) over the distinct terms of a text: its
 lower-case words and their first characters, hashed to 31 bits. The pair term learns what linear weights
-can't: words that count only together. The machine is trained here, on the driver, from a bounded sample
-of labelled rows; its terms are looked up by their hash, and it is sent to the workers as two arrays.
+can't: words that count only together. The machine has every term that is frequent enough to be learned
+from, whether or not it tells anything alone. It is trained here, on the driver, from a bounded sample of
+labelled rows, and sent to the workers as arrays.
 """
 
 from __future__ import annotations
@@ -14,20 +15,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Labelled rows that the machine is fitted on at most: those with the smallest hash of the id.
 TRAIN_ROWS = 16_000
-#: Terms that fewer fitted rows hold are left out; of the others the machine has this many, those whose
-#: presence tells most of the label (chi-squared), and at most one for each four rows.
-LEAST_DF = 3
-TERMS = 4096
+#: Terms in fewer fitted rows than this share of them, or than LEAST_DF, are left out; labels play no part in it.
+#: A row's mean number of distinct terms divided by the share bounds the number of terms.
+LEAST_SHARE, LEAST_DF = 0.0025, 3
 PREFIXES = (4, 5)
 FACTORS = 4
-EPOCHS = 25
-BATCH = 256
+#: Passes over the rows with weights alone and with both: so many batches, within the limits that follow.
+PASSES = ((2000, 10, 30), (800, 5, 12))
+BATCH = 64
+#: Step and pull to zero of weights, the same of factors and their first deviation, and what squared gradients start from.
+STEP, LASSO, FACTOR_STEP, DECAY, SPREAD, START = 0.3, 7e-4, 0.05, 1e-4, 0.01, 1e-2
 WORD = re.compile(r"[^\W_]+")
 CACHE = 200_000
 
@@ -38,11 +42,15 @@ def held_out(id_col: Column) -> Column:
 
 
 class Terms:
-    """Hashed distinct terms of texts; words seen are kept with their hashes, a bounded number of them."""
+    """Hashed distinct terms of texts, ascending; words seen are kept with theirs, a bounded number of them."""
 
     def __init__(self) -> None:
         self.seen: dict[str, tuple[int, ...]] = {}
 
+    def of(self, word: str) -> tuple[int, ...]:
+        data = [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
+        return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) >> 1 for x in data)
+
     def __call__(self, text: str | None) -> np.ndarray:
         found: set[int] = set()
         seen = self.seen
@@ -51,92 +59,104 @@ class Terms:
             if terms is None:
                 if len(seen) >= CACHE:
                     seen.clear()
-                data = [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
-                terms = tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) >> 1 for x in data)
-                seen[word] = terms
+                terms = seen[word] = self.of(word)
             found.update(terms)
-        return np.fromiter(found, np.int32, len(found))
+        return np.sort(np.fromiter(found, np.int32, len(found)))
 
 
-def _forward(model: dict, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Margins of rows whose term indices lie one after another in at; and each row's sum of factors."""
-    starts = np.concatenate(([0], ends[:-1]))
-    rows = np.repeat(np.arange(len(ends)), ends - starts)
-    v = model["v"][at]
+class Known(Terms):
+    """Rows in a machine of the distinct terms of texts that it has, ascending."""
+
+    def __init__(self, model: dict) -> None:
+        super().__init__()
+        self.rows = {t: i for i, t in enumerate(model["terms"].tolist())}
+
+    def of(self, word: str) -> tuple[int, ...]:
+        return tuple(self.rows[t] for t in super().of(word) if t in self.rows)
+
+
+def _forward(model: dict, at: np.ndarray, ends: np.ndarray, paired: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Margins of texts whose terms' rows lie one after another in at, with or without pairs; and each text's sum of factors."""
+    rows = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
     linear = np.bincount(rows, model["w"][at], len(ends))
+    if not paired:
+        return model["bias"] + linear, None
+    v = model["v"][at]
     sums = np.stack([np.bincount(rows, v[:, k], len(ends)) for k in range(v.shape[1])], axis=1)
     squares = np.bincount(rows, np.einsum("ij,ij->i", v, v), len(ends))
     return model["bias"] + linear + 0.5 * ((sums * sums).sum(axis=1) - squares), sums
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> dict:
-    """A machine from hashed terms and 0/1 labels; without both labels it scores the share of ones."""
+def fit(rows: list[np.ndarray], labels: np.ndarray) -> dict:
+    """A machine from hashed terms and 0/1 labels; without both labels it scores the share of ones.
+
+    Weights are fitted alone first, with a pull that keeps those of chance terms at zero, and then with
+    the factors, which learn what the weights left.
+    """
     n = len(rows)
-    rate = float((labels.sum() + 0.5) / (n + 1)) if n else 0.0
+    share = float((labels.sum() + 0.5) / (n + 1)) if n else 0.0
     terms, df = np.unique(np.concatenate(rows), return_counts=True) if n else (np.empty(0, np.int32), np.empty(0, np.int64))
-    terms = _telling(rows, labels, terms, df) if n else terms
+    terms = terms[df >= max(LEAST_DF, LEAST_SHARE * n)]
     rng = np.random.default_rng(7)
-    model = {"terms": terms, "w": np.zeros(len(terms)), "v": rng.normal(0, 0.01, (len(terms), FACTORS)), "bias": float(np.log(rate / (1 - rate))) if 0 < rate < 1 else -20.0}
+    model = {"terms": terms, "w": np.zeros(len(terms)), "v": rng.normal(0, SPREAD, (len(terms), FACTORS)), "bias": float(np.log(share / (1 - share))) if 0 < share < 1 else -20.0}
     if not len(terms) or labels.min() == labels.max():
+        model["v"][:] = 0
         return model
-    known = [lookup(model, x) for x in rows]
-    gw, gv = np.full(len(terms), 1e-2), np.full((len(terms), FACTORS), 1e-2)
-    batch = min(BATCH, max(16, n // 60))
-    for _ in range(epochs):
+    rows = [np.searchsorted(terms, x[np.isin(x, terms, assume_unique=True)]) for x in rows]
+    gw, gv = np.full(len(terms), START), np.full((len(terms), FACTORS), START)
+    alone, both = (int(np.clip(steps * BATCH / n, low, high)) for steps, low, high in PASSES)
+    for epoch in range(alone + both):
+        paired = epoch >= alone
         order = rng.permutation(n)
-        for b in range(0, n, batch):
-            mine = order[b : b + batch]
-            at = np.concatenate([known[i] for i in mine])
-            ends = np.cumsum([len(known[i]) for i in mine])
-            margin, sums = _forward(model, at, ends)
+        for b in range(0, n, BATCH):
+            mine = order[b : b + BATCH]
+            at = np.concatenate([rows[i] for i in mine])
+            if not len(at):
+                continue
+            sizes = np.fromiter((len(rows[i]) for i in mine), np.int64, len(mine))
+            margin, sums = _forward(model, at, np.cumsum(sizes), paired)
             error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[mine]
-            each = np.repeat(error, np.diff(ends, prepend=0))
+            each = np.repeat(error, sizes)
             used, where = np.unique(at, return_inverse=True)
-            v = model["v"][at]
-            dw = np.bincount(where, each, len(used)) / len(mine) + 1e-4 * model["w"][used]
-            pull = np.repeat(sums, np.diff(ends, prepend=0), axis=0) - v
-            dv = np.stack([np.bincount(where, each * pull[:, k], len(used)) for k in range(FACTORS)], axis=1) / len(mine) + 1e-4 * model["v"][used]
+            w = model["w"][used]
+            dw = np.bincount(where, each, len(used)) / len(mine)
             gw[used] += dw * dw
-            gv[used] += dv * dv
-            model["w"][used] -= 0.15 * dw / np.sqrt(gw[used])
-            model["v"][used] -= 0.01 * dv / np.sqrt(gv[used])
+            rate = STEP / np.sqrt(gw[used])
+            w = w - rate * dw
+            model["w"][used] = np.sign(w) * np.maximum(np.abs(w) - rate * LASSO, 0)
             model["bias"] -= 0.02 * float(error.mean())
+            if paired:
+                v = model["v"][used]
+                pull = each[:, None] * (np.repeat(sums, sizes, axis=0) - v[where])
+                dv = np.stack([np.bincount(where, pull[:, k], len(used)) for k in range(FACTORS)], axis=1) / len(mine) + DECAY * v
+                gv[used] += dv * dv
+                model["v"][used] = v - FACTOR_STEP * dv / np.sqrt(gv[used])
     return model
 
 
-def _telling(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """The terms that the machine has, sorted."""
-    toxic = np.concatenate([x for x, y in zip(rows, labels) if y == 1] or [terms[:0]])
-    found, count = np.unique(toxic, return_counts=True)
-    ones = np.zeros(len(terms))
-    ones[np.searchsorted(terms, found)] = count
-    n, pos = len(labels), labels.sum()
-    expected = df * (pos / n)
-    spread = expected * (1 - pos / n) * np.maximum(1 - df / n, 1 / n)
-    told = np.where(df >= LEAST_DF, (ones - expected) ** 2 / np.maximum(spread, 1e-12), -1)
-    best = np.lexsort((terms, -told))[: max(64, min(TERMS, len(labels) // 4))]
-    return np.sort(terms[best[told[best] >= 0]])
-
-
-def lookup(model: dict, hashed: np.ndarray) -> np.ndarray:
-    """Indices of the terms that the machine has."""
-    at = np.searchsorted(model["terms"], hashed)
-    at[at == len(model["terms"])] = 0
-    return at[model["terms"][at] == hashed] if len(model["terms"]) else at[:0]
-
-
-def scores(model: dict, texts: Iterator[str | None], terms: Terms) -> np.ndarray:
-    known = [np.sort(lookup(model, terms(x))) for x in texts]
-    if not known:
-        return np.empty(0)
-    margin, _ = _forward(model, np.concatenate(known), np.cumsum([len(x) for x in known]))
+def scores(model: dict, texts: Iterator[str | None], terms: Known | None = None) -> np.ndarray:
+    """Scores of texts, a bounded number of terms at a time; terms are those of the model, kept between calls."""
+    terms = terms or Known(model)
+    out, held, size = [], [], 0
+    for x in texts:
+        held.append(terms(x))
+        size += len(held[-1])
+        if size > 1_000_000:
+            out.append(_forward(model, np.concatenate(held), np.cumsum([len(t) for t in held]))[0])
+            held, size = [], 0
+    if held:
+        out.append(_forward(model, np.concatenate(held), np.cumsum([len(t) for t in held]))[0])
+    margin = np.concatenate(out) if out else np.empty(0)
     return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def _hash_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batch's other columns and, for its last, the text, its hashed terms."""
     terms = Terms()
     for batch in batches:
-        yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "terms": [np.sort(terms(x)) for x in batch["text"]]})
+        made = [terms(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+        ends = pa.array(np.cumsum([0, *map(len, made)]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*made, np.empty(0, np.int32)])))], [*batch.schema.names[:-1], "terms"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> dict:
@@ -148,31 +168,37 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id")))
     sample = usable.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    data = texts.mapInPandas(_hash_batches, "id long, label int, terms array<int>").toArrow().to_pandas()
-    terms = [np.asarray(x, np.int32) for x in data["terms"]]
-    order = sorted(range(len(terms)), key=lambda i: (data["id"][i], len(terms[i]), zlib.crc32(terms[i].tobytes())))
-    return fit([terms[i] for i in order], data["label"].to_numpy(np.float64)[order])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
+    key = F.xxhash64("id").alias("key")
+    data = texts.select(key, "label", "text").mapInArrow(_hash_batches, "key long, label int, terms array<int>").toArrow()
+    flat = data.column("terms").combine_chunks()
+    values, ends = flat.flatten().to_numpy(), flat.offsets.to_numpy() - (flat.offsets[0].as_py() or 0) if len(flat) else np.zeros(1, np.int64)
+    terms = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    keys, given = data.column("key").to_numpy(), data.column("label").to_numpy()
+    # the same rows in the same order, whatever the partitioning
+    order = sorted(range(len(terms)), key=lambda i: (keys[i], len(terms[i]), zlib.crc32(np.ascontiguousarray(terms[i]).tobytes())))
+    return fit([terms[i] for i in order], given[order].astype(np.float64))
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for every row of docs; only the text is looked at. A null text scores as an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms = Terms()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Known(shared.value)
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "score": scores(shared.value, batch["text"], terms)})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(shared.value, batch.column(1).to_pylist(), terms), pa.float64())], ["id", "score"])
 
     kind = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, kind)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, kind)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(id, held_out, score, predicted) for every row of docs.
 
-    predicted is 1 from a score of 0.5 on. Without usable labels every text scores near 0. Repeated rows
-    stay repeated; equal texts score alike; an empty table gives no rows.
+    predicted is 1 from a score of 0.5 on. Ids of any type that is in both tables will do. Without usable
+    labels every text scores near 0; an empty text, a null one and one without words score by the bias
+    alone. Repeated rows stay repeated; equal texts score alike; an empty table gives no rows.
     """
     scored = score(docs, train(docs, labels, id_col, text_col, label_col), id_col, text_col)
     return scored.select("id", held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -183,7 +209,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))
 
     @F.pandas_udf(T.DoubleType())
-    def toxic(texts: pd.Series) -> pd.Series:
-        return pd.Series(scores(shared.value, texts, Terms()))
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        terms = Known(shared.value)
+        for texts in batches:
+            yield pd.Series(scores(shared.value, texts, terms))
 
     return docs.filter(toxic(F.col(text_col)) < 0.5)
