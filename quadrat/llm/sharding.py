@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, remove, written
 
 LIMIT = 64 << 20
 HASH_BITS = 40
-#: Further bits that tell rows of one id apart; used only in buckets that the id's hash can't split.
+#: Further bits that tell rows of one id apart; used only in buckets that the id's hash can't split. Rows of
+#: one id split up to 2**20 shards, which at the standard limit hold 64 TB.
 COPY_BITS = 20
 STEP = 8
 
@@ -39,18 +40,27 @@ def _leaves(cells: DataFrame, start: int, depth: int, limit: int) -> tuple[DataF
     return leaves.select("depth", "prefix", "bytes", "rows"), sums.filter(F.col("depth") == depth).filter("not fits").select(F.col("prefix").alias("cell"))
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    """(id, n_bytes, shard, depth, shard_bytes) for every row of docs.
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, row_col: str | None = None) -> DataFrame:
+    """(id, n_bytes, shard, depth, shard_bytes) for every row of docs; with row_col also ``row``, its value.
 
     shard is the leading bits of its bucket as text ('' if everything fits one shard), shard_bytes the
     UTF-8 bytes in it. Every shard holds at most limit bytes, unless a single document is longer: that one
-    has a shard of its own. A null text has 0 bytes. Rows that repeat an id split on bits of a row number
-    after the 40 bits of the id's hash. An empty table gives no rows.
+    has a shard of its own. A null text has 0 bytes. Rows that repeat an id split on further bits, after the
+    40 bits of the id's hash: those of row_col, which tells all rows apart, or else of the text and the
+    number of the row among equal ones. Nothing depends on the partitioning. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    # the row number only tells repeats of an id apart; it is written down once, so reruns of a task agree
-    copy = F.pmod(F.xxhash64(F.lit("copy"), F.monotonically_increasing_id()), F.lit(1 << COPY_BITS))
-    rows = cut(rows.withColumn("hash", F.shiftleft(id_hash(F.col("id")), COPY_BITS).bitwiseOR(copy)))
+    n_bytes = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes")
+    if row_col:
+        rows, carried = docs.select(F.col(id_col).alias("id"), n_bytes, F.col(row_col).alias("row")), ["row"]
+        copy = F.xxhash64(F.lit("copy"), "row")
+    else:
+        equal = docs.groupBy(F.col(id_col).alias("id"), n_bytes, F.xxhash64(text_col).alias("body")).agg(F.count("*").alias("rows"))
+        rows, carried = equal.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))), []
+        copy = F.xxhash64(F.lit("copy"), "body", "nth")
+        rows = rows.select("id", "n_bytes", copy.alias("copy"))
+        copy = F.col("copy")
+    copy = F.pmod(copy, F.lit(1 << COPY_BITS))
+    rows = cut(rows.withColumn("hash", F.shiftleft(id_hash(F.col("id")), COPY_BITS).bitwiseOR(copy)).select("id", "n_bytes", "hash", *carried))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     bits = HASH_BITS + COPY_BITS
     depth, start, left, leaves = min(HASH_BITS, max(4, (total // limit).bit_length() + 4)), 0, rows, None
@@ -75,11 +85,16 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
     n = leaves.count()
     side = F.broadcast(named) if n <= 200_000 else named  # 24 bytes a leaf
     shard = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("depth"), F.lit("0")))
-    return tried.join(side, ["depth", "prefix"]).select("id", "n_bytes", shard.alias("shard"), "depth", "shard_bytes")
+    return tried.join(side, ["depth", "prefix"]).select("id", "n_bytes", shard.alias("shard"), "depth", "shard_bytes", *carried)
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> None:
-    """docs as Parquet under path, one folder a shard (shard=_ for the empty prefix); ids must not repeat."""
-    where = assign(docs, id_col, text_col, limit).select(F.col("id").alias("__shard_id"), F.concat(F.lit("_"), "shard").alias("shard"))
-    placed = docs.drop("shard").join(where, docs[id_col].eqNullSafe(F.col("__shard_id"))).drop("__shard_id")
-    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+    """docs as Parquet under path, one folder a shard (shard=_ for the empty prefix).
+
+    Every row is written once, whatever ids repeat or are null: rows are numbered in a table of the shared
+    folder, which is deleted afterwards. A column ``shard`` of docs gives way to the folder's.
+    """
+    rows, table = written(docs.drop("shard").withColumn("__shard_row", F.monotonically_increasing_id()))
+    where = assign(rows, id_col, text_col, limit, "__shard_row").select(F.col("row").alias("__shard_row"), F.concat(F.lit("_"), "shard").alias("shard"))
+    rows.join(where, "__shard_row").drop("__shard_row").repartition("shard").write.partitionBy("shard").parquet(path)
+    remove(docs.sparkSession, table)

@@ -55,3 +55,18 @@ def test_documents(spark, sf, tmp_path):
     sharding.write_shards(docs, f"file://{tmp_path}/s", limit=50_000)
     back = spark.read.parquet(f"file://{tmp_path}/s")
     assert sorted((r.doc_id, r.text) for r in back.collect()) == sorted(rows)
+
+
+def test_repeated_and_null_ids_split_and_are_written_once(spark, tmp_path):
+    rows = [(7, "a" * 10)] * 40 + [(7, f"b{i}" * 5) for i in range(20)] + [(None, "c" * 10)] * 30 + [(i, "d") for i in range(10)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, shard string")
+    got = sharding.assign(df, limit=60)
+    assert len(got.collect()) == len(rows) and all(r.shard_bytes <= 60 for r in got.collect())
+    assert sorted(map(str, got.collect())) == sorted(map(str, sharding.assign(df.repartition(5), limit=60).collect()))
+    sharding.write_shards(df, f"file://{tmp_path}/s", limit=60)
+    back = spark.read.parquet(f"file://{tmp_path}/s")
+    assert sorted(map(str, ((r.doc_id, r.text) for r in back.collect()))) == sorted(map(str, rows))
+    sizes = {}
+    for r in back.collect():
+        sizes[r.shard] = sizes.get(r.shard, 0) + len(r.text)
+    assert max(sizes.values()) <= 60
