@@ -148,7 +148,7 @@ class Scorer:
         if not langs:
             return [(UNKNOWN, 0.0)] * len(texts)
         distinct = set().union(*counted)
-        fresh = sorted(distinct - self.index.keys())
+        fresh = sorted(w for w in distinct if w not in self.index)
         if fresh:
             if (len(self.index) + len(fresh)) * len(langs) > CACHE:
                 self.reset()

@@ -80,7 +80,7 @@ class Codec:
             words = [self.chunks(x) for x in some]
             distinct = set().union(*words)
             table = self.table
-            fresh = self.learn(distinct - table.keys())
+            fresh = self.learn({c for c in distinct if c not in table})
             if len(table) + len(fresh) > CACHE:
                 fresh |= {c: table[c] for c in distinct if c in table}
                 table.clear()

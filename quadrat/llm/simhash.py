@@ -43,7 +43,18 @@ SET_SEGMENTS = tuple((k, at, 16) for k in range(WORDS) for at in range(0, 64, 16
 #: the mean at 0.8, 4.5 below that of unrelated texts.
 SET_DISTANCE = 26
 #: Shingles of the texts that a task compares with each other, about; larger groups are dealt out as pairs of blocks.
-SHINGLES = 1_000_000
+SHINGLES = 200_000
+#: Distinct words that a process keeps with their hashes.
+SEEN = 500_000
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits; sums of 255 rows fit a byte."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 255):
+        bits = np.unpackbits(hashes[at : at + 255].view(np.uint8), bitorder="little").reshape(-1, 64)
+        counts += bits.sum(axis=0, dtype=np.uint8)
+    return counts
 
 
 def text_fingerprint(data: bytes, width: int = WIDTH) -> int:
@@ -62,7 +73,7 @@ def text_fingerprint(data: bytes, width: int = WIDTH) -> int:
     for at in range(0, n, 65536):
         to = min(n, at + 65536)
         h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at:to].tolist(), ends[at + width - 1 : to + width - 1].tolist())], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += _ones(h)
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -288,16 +299,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_hot(prints, named, "bits", "rows").select("id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+_seen: dict[bytes, int] = {}
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    """XXH64 of each word; words seen by this process are kept with theirs, a bounded number of them."""
+    fresh = {w for w in words if w not in _seen}
+    if len(_seen) + len(fresh) > SEEN:
+        _seen.clear()
+        fresh = set(words)
+    _seen.update((w, xxhash.xxh64_intdigest(w, SEED)) for w in fresh)
+    return np.fromiter(map(_seen.__getitem__, words), np.uint64, len(words))
+
+
+def _remixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Other 64 bits of hashes for each k."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB + 2 * k)
+    return h ^ (h >> np.uint64(31))
+
+
 def shingle_set(data: bytes, width: int = SET_WIDTH) -> np.ndarray:
-    """The sorted distinct hashes of a UTF-8 text's shingles of lower-case words; empty without words."""
-    words = data.lower().split()
-    joined = b" ".join(words)
-    if len(words) < width:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if words else [], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends[width - 1 :].tolist())), np.uint64, len(words) - width + 1))
+    """The sorted distinct 64-bit hashes of a UTF-8 text's shingles of lower-case words, made of the words' hashes; empty without words."""
+    hashes = _word_hashes(data.lower().split())
+    if not len(hashes):
+        return hashes
+    n = max(1, len(hashes) - width + 1)
+    made = np.zeros(n, np.uint64)
+    for k in range(min(width, len(hashes))):
+        made = made * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
+    return np.unique(_remixed(made, 0))
 
 
 def wide_print(hashes: np.ndarray, words: int = WORDS) -> list[int]:
@@ -307,11 +338,7 @@ def wide_print(hashes: np.ndarray, words: int = WORDS) -> list[int]:
         counts = np.zeros(64, np.int64)
         for at in range(0, len(hashes), 65536):
             h = hashes[at : at + 65536]
-            if k:
-                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
-                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB + 2 * k)
-                h = h ^ (h >> np.uint64(31))
-            counts += np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            counts += _ones(_remixed(h, k) if k else h)
         out.append(int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0]))
     return out
 
