@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its rows in spark.checkpoint.dir, or in a folder of our own where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quadrat-checkpoint-"))
+    """df with its rows in the shared folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a folder of our own in local mode and an error on a cluster."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not root and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="quadrat-checkpoint-"))
+    return context.getCheckpointDir()

@@ -101,17 +101,20 @@ def capped_bank(rows: DataFrame, label: str, keys: list[str], per_class: int, ex
     return kept.withColumn("__rank", place).filter(F.col("__rank") <= per_class).drop("__rank")
 
 
-def arm_label(label: str, mapping: dict[str, int], policy: str, verifier: str = "verifier_label", retrieved: str = "retrieved", modal: int = 0) -> Column:
-    """struct(class, reason): the export class of an object, or why it is dropped, under a parent policy.
+def arm_label(label: str, mapping: dict[str, int], policy: str, parent: str = "vehicle", modal: str = "car", verifier: str = "verifier_label", retrieved: str = "retrieved") -> Column:
+    """struct(class, reason): the export class of an object, or null and why it is dropped.
 
-    A mapped label is its class. Of the others, 'drop' drops, 'modal' takes the most common class, 'retrieval'
-    and 'verifier_label' the class of the retrieved or verifier's label, if mapped.
+    A mapped label is its class. Of the others only the parent label falls back, by a policy: 'drop' drops
+    it, 'modal' takes the class of the modal label, 'retrieval' and 'verifier_label' that of the retrieved
+    or the verifier's label if it is mapped. Any other label is unmapped.
     """
     table = F.create_map(*(F.lit(x) for kv in sorted(mapping.items()) for x in kv))
-    own = F.element_at(table, F.col(label))
-    other = {"drop": F.lit(None), "modal": F.lit(modal), "retrieval": F.element_at(table, F.col(retrieved)), "verifier_label": F.element_at(table, F.col(verifier))}[policy]
-    found = F.coalesce(own, other.cast("int"))
-    return F.struct(found.alias("class"), F.when(own.isNotNull(), "mapped").when(found.isNotNull(), f"parent_{policy}").otherwise("unmapped").alias("reason"))
+    own, falls = F.element_at(table, F.col(label)), F.col(label) == parent
+    other = {"drop": F.lit(None), "modal": F.lit(mapping[modal]) if policy == "modal" else None, "retrieval": F.element_at(table, F.col(retrieved)), "verifier_label": F.element_at(table, F.col(verifier))}[policy].cast("int")
+    gone = {"drop": "parent_fallback_dropped", "modal": None, "retrieval": "parent_fallback_unresolved_by_retrieval", "verifier_label": "parent_fallback_unresolved_by_verifier"}[policy]
+    unmapped = F.concat(F.lit("unmapped_class:"), F.coalesce(F.col(label), F.lit("")))
+    found = F.when(own.isNotNull(), own).when(falls, other)
+    return F.struct(found.alias("class"), F.when(found.isNotNull(), F.lit(None).cast("string")).when(falls, F.lit(gone)).otherwise(unmapped).alias("reason"))
 
 
 def classify(boxes: DataFrame, tight: DataFrame, loose: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from quadrat.functions import labels as lb
 from quadrat.functions import stats, text
 from quadrat.operators import accept, cluster, review, spatial, validate
 from quadrat.operators.evaluate import ABSTAIN
+from quadrat.sources import writers
 from quadrat.sources.bridge import LABELS, OBS, ONTOLOGY, REFS, SIZE, observations, references, table
 
 from .spatial import CONTAIN
@@ -88,20 +89,49 @@ def label_score(spark, sf):
 
 
 ARM = "CASE {c} WHEN 'car' THEN 0 WHEN 'van' THEN 1 WHEN 'truck' THEN 2 END"
+#: Labels as exports see them: the parent on a third of the rows, another label beside.
+EXPORTED = "(SELECT *, CASE WHEN idx % 3 = 0 AND label <> 'person' THEN 'vehicle' ELSE label END AS name, (['car','van','truck','person'])[1+idx%4] AS other FROM obs)"
+#: What becomes of the parent label: its class, and the reason where that is null.
+FALLS = {"drop": ("NULL", "parent_fallback_dropped"), "modal": ("0", ""), "retrieval": (ARM.format(c="other"), "parent_fallback_unresolved_by_retrieval"), "verifier_label": (ARM.format(c="other"), "parent_fallback_unresolved_by_verifier")}
+
+
+def exported(spark, sf):
+    other = F.element_at(F.array(*map(F.lit, LABELS)), F.col("idx") % 4 + 1)
+    name = F.when((F.col("idx") % 3 == 0) & (F.col("label") != "person"), "vehicle").otherwise(F.col("label"))
+    return observations(spark, sf).withColumns({"name": name, "other": other})
 
 
 @query(
-    f"""WITH {OBS}, e AS (SELECT label, (['car','van','truck','person'])[1+idx%4] AS other FROM obs), m AS (SELECT {ARM.format(c='label')} AS own, {ARM.format(c='other')} AS o FROM e)
-"""
-    + " UNION ALL ".join(f"SELECT '{p}' AS arm, coalesce(own, {v}) AS class, CASE WHEN own IS NOT NULL THEN 'mapped' WHEN coalesce(own, {v}) IS NOT NULL THEN 'parent_{p}' ELSE 'unmapped' END AS reason, count(*) AS n FROM m GROUP BY ALL" for p, v in (("drop", "NULL"), ("modal", "0"), ("retrieval", "o"), ("verifier_label", "o")))
+    f"WITH {OBS}, e AS (SELECT name, other, {ARM.format(c='name')} AS own FROM {EXPORTED})"
+    + " UNION ALL ".join(f"""
+SELECT '{p}' AS arm, CASE WHEN own IS NOT NULL THEN own WHEN name = 'vehicle' THEN {c} END AS class, CASE WHEN own IS NOT NULL THEN NULL WHEN name <> 'vehicle' THEN 'unmapped_class:' || name WHEN {c} IS NULL THEN '{r}' END AS reason, count(*) AS n FROM e GROUP BY ALL""" for p, (c, r) in FALLS.items())
 )
 def label_arms(spark, sf):
-    other = F.element_at(F.array(*map(F.lit, LABELS)), F.col("idx") % 4 + 1)
-    rows = observations(spark, sf).select("label", other.alias("retrieved"), other.alias("verifier_label"))
-    arms = F.array(*(F.struct(F.lit(p).alias("arm"), review.arm_label("label", MAPPING, p).alias("x")) for p in ("drop", "modal", "retrieval", "verifier_label")))
+    rows = exported(spark, sf).select("name", F.col("other").alias("retrieved"), F.col("other").alias("verifier_label"))
+    arms = F.array(*(F.struct(F.lit(p).alias("arm"), review.arm_label("name", MAPPING, p).alias("x")) for p in FALLS))
     return rows.select(F.explode(arms).alias("a")).select("a.arm", "a.x.class", "a.x.reason").groupBy("arm", "class", "reason").agg(F.count("*").alias("n"))
 
 
+#: Verifications: none for every fifth box, else confirmed but for every seventh.
+CHECKED = "idx % 5 <> 0 AND idx % 7 <> 0"
+
+
+@query(f"""WITH {OBS}, e AS (SELECT *, {ARM.format(c='name')} AS own, CASE WHEN name = 'vehicle' AND idx % 2 = 0 THEN {ARM.format(c='other')} END AS voted FROM {EXPORTED}),
+j AS (SELECT *, coalesce(own, voted) AS class, CASE WHEN NOT ({CHECKED}) THEN 'unconfirmed' WHEN score_milli < 300 THEN 'below_threshold' WHEN own IS NOT NULL THEN NULL WHEN name <> 'vehicle' THEN 'unmapped_class:' || name WHEN voted IS NULL THEN 'parent_fallback_unresolved_by_retrieval' END AS reason FROM e),
+k AS (SELECT * FROM j WHERE reason IS NULL)
+SELECT 'images' AS measure, count(DISTINCT image_id) AS n FROM obs UNION ALL SELECT 'written', count(*) FROM k UNION ALL SELECT 'empty_images', (SELECT count(DISTINCT image_id) FROM obs) - (SELECT count(DISTINCT image_id) FROM k)
+UNION ALL SELECT 'unresolved_boundary', count(*) FILTER (view_edge) FROM k UNION ALL SELECT 'unsearched_regions', count(*) FILTER (job = 7) FROM obs UNION ALL SELECT 'class:' || class, count(*) FROM k GROUP BY class UNION ALL SELECT 'dropped:' || reason, count(*) FROM j WHERE reason IS NOT NULL GROUP BY reason""")
+def export_report(spark, sf):
+    """An arm held to the verifier, its parent labels resolved by a retrieval sidecar."""
+    rows = exported(spark, sf).withColumnRenamed("image_id", "image").withColumn("id", F.col("idx"))
+    objects = rows.select("image", "id", "box", F.col("name").alias("label"), F.lit(SIZE).alias("width"), F.lit(SIZE).alias("height"), F.when(F.col("view_edge"), "unresolved").otherwise("supported").alias("boundary"))
+    checks = rows.filter("idx % 5 <> 0").select("image", "id", (F.col("idx") % 7 != 0).alias("confirmed"), (F.col("score_milli") / 1000).alias("verifier_score"), F.col("other").alias("verifier_label"))
+    sidecar = rows.filter("idx % 2 = 0").select("image", "id", F.col("other").alias("label"))
+    lines, drops = writers.export_labels(objects, checks, MAPPING, "retrieval", "arm", 0.3, sidecar)
+    regions = rows.select("image", F.when(F.col("job") == 7, "unsearched").otherwise("unresolved").alias("kind"))
+    return writers.export_report(lines, drops, rows.select("image").distinct(), regions).select("measure", "n")
+
+
 @query(f"""WITH {OBS}, e AS (SELECT label AS a, (['car','van','truck','person'])[1+idx%4] AS b FROM obs), m AS (SELECT {ARM.format(c='a')} AS x, {ARM.format(c='b')} AS y FROM e)
 SELECT CASE WHEN x IS NULL AND y IS NULL THEN 'both_outside_schema' WHEN x = y THEN 'agrees' WHEN x IS NULL THEN 'absent_from_export' ELSE 'wrong' END AS outcome, count(*) AS n FROM m GROUP BY 1""")
 def label_under_consumer(spark, sf):
@@ -198,20 +228,8 @@ def accept_refine(spark, sf):
     return done.select("image_id", "idx", "box.x1", "box.x2", "refined", "rejected", "extent_disagreement")
 
 
-@query(f"""WITH {OBS}, m AS (SELECT a.image_id, a.idx, b.idx AS o, b.x1, b.y1, b.x2, b.y2 FROM obs a JOIN obs b ON a.image_id = b.image_id AND b.idx > a.idx AND b.idx <= a.idx + 12 AND a.label = b.label WHERE a.idx % 10 = 0 AND (a.x1,a.y1,a.x2,a.y2) <> (b.x1,b.y1,b.x2,b.y2) AND b.x2 <= 64),
-f AS (SELECT image_id, idx, x1, y1, x2, y2, min(o) AS o FROM m GROUP BY 1,2,3,4,5,6), n AS (SELECT *, row_number() OVER (PARTITION BY image_id, idx ORDER BY o) AS k FROM f)
-SELECT image_id, idx, string_agg(x1 || ':' || y1, ',' ORDER BY k) AS alternatives FROM n WHERE k <= 3 GROUP BY 1, 2""")
-def accept_alternatives(spark, sf):
-    obs = observations(spark, sf)
-    a = obs.filter("idx % 10 = 0").select("image_id", "idx", "label", F.col("box").alias("kept"))
-    b = obs.select("image_id", F.col("idx").alias("o"), F.col("label").alias("other"), "box")
-    members = a.join(b, "image_id").filter("o > idx and o <= idx + 12 and label = other")
-    made = accept.distinct_alternatives(members, ["image_id", "idx"], "box", "kept", "o", 64, SIZE, most=3)
-    return made.select("image_id", "idx", F.array_join(F.transform("alternatives", lambda x: F.concat_ws(":", x["x1"].cast("string"), x["y1"].cast("string"))), ",").alias("alternatives"))
-
-
 @query()
-def accept_alternatives_all(spark, sf):
+def accept_alternatives(spark, sf):
     """Alternatives of every lead of the merge, from all members that it absorbed."""
     obs = observations(spark, sf).withColumn("id", F.col("idx").cast("string")).withColumn("score", F.col("score_milli"))
     made = cluster.merge(obs, ios=2.0).select("image_id", F.col("id").cast("int").alias("o"), F.col("lead").cast("int").alias("idx")).filter("o <> idx")
@@ -249,14 +267,8 @@ def validate_records(spark, sf):
     )
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_custkey % 40 AS s, (c_custkey * 7 + 3) % 40 AS d FROM customer WHERE c_custkey % 40 < 25), w(s, d) AS (SELECT s, d FROM e UNION SELECT w.s, e.d FROM w JOIN e ON w.d = e.s) SELECT DISTINCT s AS src FROM w WHERE s = d""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS s, (c_custkey * 7 + 3) % (max(c_custkey) OVER () + 1) AS d FROM customer), w(s, d) AS (SELECT s, d FROM e UNION SELECT w.s, e.d FROM w JOIN e ON w.d = e.s) SELECT DISTINCT s AS src FROM w WHERE s = d""")
 def validate_cycles(spark, sf):
-    edges = table(spark, sf, "customer").filter("c_custkey % 40 < 25").select((F.col("c_custkey") % 40).alias("src"), ((F.col("c_custkey") * 7 + 3) % 40).alias("dst"))
-    return validate.cycles(edges)
-
-
-@query()
-def validate_cycles_all(spark, sf):
     """Customers on a cycle, over one edge of each customer by its own id."""
     customers = table(spark, sf, "customer").select("c_custkey")
     most = customers.agg(F.max("c_custkey").alias("most"))

@@ -168,17 +168,11 @@ def join_window(spark, sf):
 
 
 @query(f"""WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e, 'c' || label AS label FROM embeddings),
-s AS (SELECT q.vec_id AS id, b.vec_id AS bid, b.label, list_inner_product(q.e, b.e) AS sim FROM v q JOIN v b ON b.vec_id % 3 = 0 WHERE q.vec_id % 3 = 1),
+s AS (SELECT q.vec_id AS id, b.vec_id AS bid, b.label, list_inner_product(q.e, b.e) AS sim FROM v q JOIN v b ON b.vec_id <> q.vec_id),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, bid) AS n FROM s) WHERE n <= 5),
 w AS (SELECT id, label, count(*) AS votes, max(sim) AS sim FROM t GROUP BY 1, 2), z AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY votes DESC, sim DESC, label DESC) AS p FROM w)
 SELECT id, max(CASE WHEN p = 1 THEN label END) AS label, max(CASE WHEN p = 1 THEN votes END) AS votes, max(CASE WHEN p = 2 THEN label END) AS runner_up FROM z WHERE p <= 2 GROUP BY id""")
 def join_knn_vote(spark, sf):
-    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("label"))
-    return spatial.knn_vote(v.filter("id % 3 = 1"), v.filter("id % 3 = 0")).drop("similarity")
-
-
-@query()
-def join_knn_vote_all(spark, sf):
     """Every vector labelled by the others: all are bank and query, a query's own id left out."""
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("label"))
     return spatial.knn_vote(v, v, others=True).drop("similarity")

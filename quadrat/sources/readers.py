@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quadrat.functions import geometry as g
 
 BOX = "array<double>"
-OBJECT = f"id string, kind string, status string, scene_layer string, bbox_xyxy {BOX}, label struct<id:string,name:string>, alternative_boxes array<{BOX}>, uncertainty struct<existence:string,class:string,boundary:string,count:string,granularity:string,reasons:array<string>>, flags array<string>, relations array<struct<type:string,target:string>>"
+OBJECT = f"id string, kind string, status string, scene_layer string, bbox_xyxy {BOX}, mask_ref string, alternative_boxes array<{BOX}>, label struct<id:string,name:string>, label_alternatives array<struct<id:string,name:string>>, uncertainty struct<existence:string,class:string,boundary:string,count:string,granularity:string,reasons:array<string>>, evidence_refs array<string>, relations array<struct<type:string,target_id:string,evidence_refs:array<string>>>, occluded boolean, truncated boolean, flag_evidence_refs array<string>, count string, calibrated_estimates array<struct<event:string,probability:double,calibration_ref:string,population:string,localization_threshold:double>>"
 CANDIDATE = f"id string, disposition string, object string, job string, level int, bbox_xyxy {BOX}, label string, model_score double, class_scores map<string,double>, view_edge boolean, merged_into string, merged_views array<string>, reason string, verification struct<confirmed:boolean,verifier_label:string,verifier_score:double,overlap:double>"
 REFERENCE = f"id string, bbox_xyxy {BOX}, permitted_labels array<string>, eligible boolean"
 PREDICTION = f"id string, bbox_xyxy {BOX}, label string, kind string, status string, scene_layer string"
@@ -18,7 +18,9 @@ def _struct(fields: str) -> str:
     return "struct<" + ",".join(f"{n}:{t}" for n, t in (x.split(" ", 1) for x in fields.split(", "))) + ">"
 
 
-ANNOTATION = f"run_id string, image struct<source_sha256:string,width:int,height:int>, ontology struct<id:string,version:string,hash:string>, execution struct<status:string>, objects array<{_struct(OBJECT)}>, regions array<struct<kind:string,bbox_xyxy:{BOX}>>"
+IDENTITY = "struct<id:string,version:string,sha256:string,definition:string>"
+SUMMARY = "struct<by_status:map<string,bigint>,by_kind:map<string,bigint>,by_class:map<string,bigint>,unresolved_objects:bigint,regions:bigint,unsearched_regions:bigint,coverage:map<string,string>,resources:map<string,string>,calibration:map<string,string>>"
+ANNOTATION = f"schema_version string, run_id string, image struct<source_sha256:string,pixel_sha256:string,original_size:array<int>,normalized_size:array<int>,orientation:int,orientation_transform:array<array<double>>>, policy {IDENTITY}, ontology {IDENTITY}, manifest_ref string, qualification struct<id:string,domain:string,status:string>, execution struct<status:string,reason:string,failure_refs:array<string>>, search struct<profile_id:string,status:string,mandatory_planned:int,mandatory_completed:int,mandatory_failed:int,stable_rounds:int,coverage_ref:string,stop_rule:map<string,string>>, objects array<{_struct(OBJECT)}>, regions array<struct<kind:string,bbox_xyxy:{BOX},reason:string,evidence_refs:array<string>>>, summary {SUMMARY}, artifacts map<string,struct<path:string,format:string,sha256:string>>"
 BENCHMARK = f"schema_version string, frozen boolean, policy_compatible boolean, reference_provenance string, ontology string, category_scope array<string>, category_scope_reason string, recall_interpretable boolean, images array<struct<id:string,sha256:string,scene_id:string,near_duplicate_group:string,split:string,domain:string,size:array<int>,run_status:string,references:array<{_struct(REFERENCE)}>,predictions:array<{_struct(PREDICTION)}>>>"
 
 
@@ -72,7 +74,7 @@ def reference_csv(spark: SparkSession, path: str, categories: DataFrame, width:
 def benchmark(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(header, images, references, predictions) of benchmark documents, exploded with positions."""
     document = spark.read.schema(BENCHMARK).json(path, multiLine=True)
-    header = document.drop("images")
+    header = document.withColumn("n_images", F.coalesce(F.size("images"), F.lit(0))).drop("images")
     rows = document.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), "i.*")
     images = rows.select("image_id", "sha256", "scene_id", "near_duplicate_group", "split", "domain", F.get("size", F.lit(0)).alias("width"), F.get("size", F.lit(1)).alias("height"), F.coalesce("run_status", F.lit("missing")).alias("run_status"))
     refs = rows.select("image_id", F.posexplode("references").alias("ref", "r")).select("image_id", "ref", "r.id", as_box("r.bbox_xyxy").alias("ref_box"), F.col("r.permitted_labels").alias("permitted"), F.coalesce("r.eligible", F.lit(True)).alias("eligible"))
