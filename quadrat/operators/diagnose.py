@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.functions import geometry as g
 from quadrat.functions.stats import ratio
 
 from .assignment import match
+from .review import global_rank, global_sum
 from .spatial import overlap_join
 
 #: The miss buckets, in the order in which they are tested.
 BUCKETS = ("merged_with_neighbour", "localized_below_match", "below_threshold", "merged_away", "retained_unmatched", "never_proposed")
 MATCH, NEAR = (1, 2), (3, 10)
+#: Thresholds that a sweep may broadcast, a number each.
+MOST_THRESHOLDS = 10_000
 
 
 def _missed(references: DataFrame, retained: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -98,17 +103,29 @@ def separability(references: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def score_quantiles(retained: DataFrame, points: int = 20, score: str = "score") -> DataFrame:
-    """(threshold): distinct linear quantiles of the score at evenly spaced shares."""
-    shares = F.array(*(F.lit(i / (points - 1)) for i in range(points)))
-    return retained.agg(F.percentile(score, shares).alias("q")).select(F.explode(F.array_distinct("q")).alias("threshold"))
+    """(threshold): distinct linear quantiles of the score at evenly spaced shares; null scores are left out.
+
+    Scores are sorted by range and the few rows at the wanted places are picked: no task sees them all.
+    """
+    scores = retained.select(F.col(score).cast("double").alias("s")).filter("s is not null")
+    ranked = global_rank(scores, [F.col("s")], "at").select("at", "s")
+    n = ranked.count()
+    places = [(n - 1) * (i / (points - 1)) for i in range(points)] if n else []
+    wanted = sorted({f(x) + 1 for x in places for f in (math.floor, math.ceil)})
+    found = {r["at"]: r.s for r in ranked.filter(F.col("at").isin(wanted)).collect()}  # two rows a point at most
+    ends = [(x, math.floor(x), math.ceil(x)) for x in places]
+    made = {found[low + 1] if low == high else (high - x) * found[low + 1] + (x - low) * found[high + 1] for x, low, high in ends}
+    return retained.sparkSession.createDataFrame([(x,) for x in sorted(made)], "threshold double")
 
 
 def selectivity(retained: DataFrame, references: DataFrame, thresholds: DataFrame, score: str = "score") -> DataFrame:
     """One row a threshold: kept, removed, matched_kept, removal rates of matched and unmatched boxes, selectivity, recall, precision.
 
-    The matching is solved anew over the survivors of each threshold. thresholds is a short table; an
-    overlapping pair meets only the thresholds at or below its score.
+    The matching is solved anew over the survivors of each threshold. thresholds is a short table, checked
+    to have at most MOST_THRESHOLDS rows; an overlapping pair meets only the thresholds at or below its score.
     """
+    if thresholds.limit(MOST_THRESHOLDS + 1).count() > MOST_THRESHOLDS:
+        raise ValueError("too_many_thresholds")
     refs = references.select("image_id", "ref", "ref_box")
     boxes = retained.select("image_id", "pos", "box", F.col(score).alias("score"))
     close = overlap_join(boxes, refs).filter(g.iou_at_least("box", "ref_box", *MATCH)).select("image_id", "pos", "ref", "score", g.iou("box", "ref_box").alias("iou"))
@@ -131,13 +148,12 @@ def highest_threshold(rows: DataFrame, targets: list[float], score: str = "score
     """(by..., target, threshold): the highest recorded score at which the share of known positives kept is still >= target.
 
     rows have a nullable score and whether the row is a known positive. At least ``least``; null without
-    positives. Distinct scores are counted before the cumulative window.
+    positives. Distinct scores are counted before they are summed, and summed by range.
     """
     by = by or []
     total = rows.filter(known).groupBy(*by).agg(F.count("*").alias("positives"))
     counts = rows.filter(known).filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(*by, F.lit(0)).orderBy(F.col("s").desc())
-    run = counts.withColumn("kept", F.sum("n").over(order))
+    run = global_sum(counts, by, [F.col("s").desc()], "n", "kept")
     aims = F.array(*map(F.lit, targets))
     joined = run.join(total, by) if by else run.join(total)
     ok = joined.select(*by, "s", "kept", "positives", F.explode(aims).alias("target")).filter(F.col("kept") >= F.col("target") * F.col("positives"))

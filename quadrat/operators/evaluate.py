@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,21 +108,30 @@ def bootstrap(counts: DataFrame, replicates: int = 10_000, seed: int = 0, anchor
     return out
 
 
-def bootstrap_distributed(counts: DataFrame, replicates: int = 200, seed: int = 0) -> DataFrame:
-    """(metric, value, lower_95): Poisson bootstrap without collecting images.
+def bootstrap_distributed(counts: DataFrame, replicates: int = 200, seed: int = 0, anchored: bool = False) -> DataFrame:
+    """(metric, numerator, denominator, value, lower_95, interval_status): Poisson bootstrap without collecting images.
 
-    Each image takes part in each replicate with a Poisson(1) weight from a hash of (seed, replicate,
-    image), so replicates are sums that are pre-aggregated where the images are.
+    Each image takes part in each replicate with a Poisson(1) weight (0 to 7) from an MD5 of (seed,
+    replicate, image), so replicates are sums that are pre-aggregated where the images are. The resampling
+    differs from ``bootstrap``: replicates vary in their number of images, domains are not drawn apart, and
+    200 replicates are the standard where a panel takes 10,000.
     """
+    if replicates < 1:
+        raise ValueError("invalid_bootstrap_replicates")
     used = sorted({c for nd in METRICS.values() for c in nd})
-    u = (F.pmod(F.xxhash64(F.lit(seed), "replicate", "image_id"), F.lit(1 << 30)) + F.lit(0.5)) / F.lit(float(1 << 30))
-    weight, below, term = F.lit(0), 0.0, float(np.exp(-1))
-    for k in range(8):
-        below += term
-        weight = weight + F.when(u > below, 1).otherwise(0)
-        term /= k + 1
+    place = F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("image_id").cast("string"))
+    u = F.conv(F.substring(F.md5(place), 1, 8), 16, 10).cast("long")
+    weight = sum((F.when(u >= bound, 1).otherwise(0) for bound in POISSON), F.lit(0))
     drawn = counts.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight).filter("w > 0")
     sums = drawn.groupBy("replicate").agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in used))
     rows = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), ratio(F.col(n), F.col(d)).alias("value")) for m, (n, d) in METRICS.items())))
-    lower = sums.select(rows.alias("r")).groupBy("r.metric").agg(F.percentile("r.value", 0.05).alias("lower_95"))
-    return metrics(counts, None).select("metric", "value").join(lower, "metric")
+    drawn_values = sums.select(rows.alias("r")).groupBy("r.metric").agg(F.percentile("r.value", 0.05).alias("lower"), F.min("r.value").alias("least"), F.max("r.value").alias("most"))
+    held = F.col("metric").isin(*ANCHORED) if anchored else F.lit(False)
+    flat = F.coalesce(F.col("least") == F.col("most"), F.lit(True))
+    status = F.when(held, "not_interpretable_anchored_panel").when(flat, "inconclusive_degenerate").otherwise("descriptive_only")
+    whole = metrics(counts, None).select("metric", "numerator", "denominator", "value").join(drawn_values, "metric", "left")
+    return whole.select("metric", "numerator", "denominator", "value", F.when(~flat & ~held, F.col("lower")).alias("lower_95"), status.alias("interval_status"))
+
+
+#: Where the cumulative Poisson(1) distribution puts the bounds of its first counts among 32-bit numbers.
+POISSON = tuple(math.floor(2**32 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(7))

@@ -44,10 +44,27 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    placed = ranged.withColumn("__in", inside).join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part")
+    placed = ranged.withColumn("__in", inside).join(sizes.select("__part", before.alias("__before")), "__part")
     return placed.withColumn(name, F.col("__before") + F.col("__in")).drop("__part", "__in", "__before")
 
 
+def global_sum(df: DataFrame, by: list[str], order: list[Column], value: str, name: str) -> DataFrame:
+    """df with the running sum of value in a total order within each group of by, without a task that sees a whole group.
+
+    Rows are partitioned by range and summed inside their partition; what comes before a partition is added
+    from one sum a group and partition.
+    """
+    ranged = cut(df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    sums = ranged.groupBy(*by, "__part").agg(F.sum(value).alias("__n"))
+    earlier = Window.partitionBy(*by, F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__part").alias("__at"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = F.sum(value).over(Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    same = F.col("__part") == F.col("__at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return ranged.withColumn("__in", inside).join(before, same).withColumn(name, F.col("__before") + F.col("__in")).select(*df.columns, name)
+
+
 def budget_curve(ranked: DataFrame, kind: str, budgets: list[int]) -> DataFrame:
     """(budget, kind, n): rows of each kind within the first ranks."""
     at = ranked.withColumn("budget", F.explode(F.array(*map(F.lit, budgets)))).filter(F.col("rank") <= F.col("budget"))
@@ -85,7 +102,7 @@ def stratified_sample(population: DataFrame, size: int, strata: list[str], keys:
         return population
     quota = F.greatest(F.lit(1), F.rint(F.lit(float(size)) * F.col("__n") / F.lit(float(total))))
     place = seeded_order(seed, *keys)
-    ranked = population.join(F.broadcast(counts), strata).withColumn("__at", place).withColumn("__rank", F.row_number().over(Window.partitionBy(*strata).orderBy("__at", *keys)))
+    ranked = population.join(counts, strata).withColumn("__at", place).withColumn("__rank", F.row_number().over(Window.partitionBy(*strata).orderBy("__at", *keys)))
     # no quota is above size: as a literal it lets each task keep only the first rows of a stratum
     taken = ranked.filter(F.col("__rank") <= size).filter(F.col("__rank") <= quota).drop("__n", "__rank")
     return taken.orderBy(F.md5(F.concat(F.lit("trim|"), "__at")), *keys).limit(size).drop("__at")

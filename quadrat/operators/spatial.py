@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import geometry as g
 
-#: Vectors that a kNN bank may have to be sent to every worker, and its rows in one product.
-BANK_ROWS, BANK_BLOCK = 200_000, 8192
+#: Bytes of vectors that a kNN bank may have to be sent to every worker, and its rows in one product.
+BANK_BYTES, BANK_BLOCK = 128 << 20, 8192
+#: Rows of the side that nearest_row looks at as a whole.
+NEAREST_ROWS = 10_000
 QUERY_BLOCK = 256  # query vectors a worker scores at a time
 
 
@@ -84,11 +86,15 @@ def containers(boxes: DataFrame, threshold: tuple[int, int], key: str = "image_i
 def nearest_row(left: DataFrame, right: DataFrame, value: Column, other: Column, order: str, keep: list[str]) -> DataFrame:
     """Each left row with the right row whose value is nearest (first by order of equal ones).
 
-    right is a small table of operating points; every left row is reduced against it by a partial min.
+    right is a small table of operating points, checked to have at most NEAREST_ROWS rows: as one array it
+    meets every left row where that is, without a shuffle or a row number.
     """
-    ids = left.withColumn("__row", F.monotonically_increasing_id())
-    best = ids.join(right, F.lit(True)).groupBy("__row").agg(F.min_by(F.struct(*keep), F.struct(F.abs(value - other), F.col(order))).alias("__near"))
-    return ids.join(best, "__row").withColumns({c: F.col(f"__near.{c}") for c in keep}).drop("__row", "__near")
+    if right.limit(NEAREST_ROWS + 1).count() > NEAREST_ROWS:
+        raise ValueError("too_many_points")
+    points = right.agg(F.collect_list(F.struct(other.cast("double").alias("at"), F.col(order).alias("order"), F.struct(*keep).alias("keep"))).alias("__points")).filter("size(__points) > 0")
+    near = F.array_min(F.transform("__points", lambda p: F.struct(F.abs(F.col("__value") - p["at"]).alias("far"), p["order"].alias("order"), p["keep"].alias("keep"))))
+    rows = left.withColumn("__value", value.cast("double")).crossJoin(F.broadcast(points))  # one row
+    return rows.withColumn("__near", near.getField("keep")).withColumns({c: F.col(f"__near.{c}") for c in keep}).drop("__value", "__points", "__near")
 
 
 def knn_vote(queries: DataFrame, bank: DataFrame, k: int = 5, id_col: str = "id", vector_col: str = "vector", label_col: str = "label", others: bool = False) -> DataFrame:
@@ -97,19 +103,19 @@ def knn_vote(queries: DataFrame, bank: DataFrame, k: int = 5, id_col: str = "id"
     others leaves a query's own id out of its nearest, for a bank that holds the queries.
 
     Inner product of the given vectors; ties of similarity go to the smaller bank id, ties of votes to the
-    higher similarity and then to the later label. A bank of at most BANK_ROWS vectors (checked) goes to all
-    workers, which take products in blocks; a larger one is cut by id into parts of that size, one pass
-    each, and the passes' nearest are merged.
+    higher similarity and then to the later label. A bank whose vectors have at most BANK_BYTES (checked)
+    goes to all workers, which take products in blocks; a larger one is cut by id into parts of that size,
+    one pass each, and the passes' nearest are merged. All vectors have one length.
     """
-    n = bank.count()
-    parts = max(1, -(-n // BANK_ROWS))
+    size = bank.agg(F.sum(F.size(vector_col).cast("long") * 8 + 64)).first()[0] or 0
+    parts = max(1, -(-size // BANK_BYTES))
     schema = f"{id_col} {queries.schema[id_col].dataType.simpleString()}, bank_id long, label string, similarity double"
     found = None
     for p in range(parts):
         mine = bank.filter(F.pmod(F.xxhash64(id_col), F.lit(parts)) == p).select(id_col, vector_col, label_col).toArrow().sort_by(id_col)
         if not mine.num_rows:
             continue
-        shared = queries.sparkSession.sparkContext.broadcast((np.stack([np.asarray(v, np.float64) for v in mine[vector_col].to_pylist()]), np.array(mine[id_col].to_pylist()), np.array(mine[label_col].to_pylist(), object)))
+        shared = queries.sparkSession.sparkContext.broadcast((mine[vector_col].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(mine.num_rows, -1), mine[id_col].to_numpy(), mine[label_col].to_numpy()))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             vectors, ids, labels = shared.value

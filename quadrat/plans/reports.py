@@ -122,15 +122,21 @@ def evaluate_metrics(spark, sf):
     return evaluate.metrics(evaluate.image_counts(*panel(spark, sf), scope=SCOPE))
 
 
-@query()
-def evaluate_bootstrap(spark, sf):
-    rows = evaluate.bootstrap(evaluate.image_counts(*panel(spark, sf), scope=SCOPE), replicates=50)
-    return spark.createDataFrame([(r["metric"], r["numerator"], r["denominator"], r["value"], r["descriptive_lower_95"], r["interval_status"]) for r in rows], "metric string, numerator long, denominator long, value double, lower_95 double, interval_status string")
+USED = sorted({c for nd in evaluate.METRICS.values() for c in nd})
 
 
-@query()
-def evaluate_bootstrap_distributed(spark, sf):
-    return evaluate.bootstrap_distributed(evaluate.image_counts(*panel(spark, sf), scope=SCOPE))
+@query(
+    f"WITH {PANEL}, b AS (SELECT k AS replicate, {' + '.join(f'CAST(u >= {x} AS INTEGER)' for x in evaluate.POISSON)} AS w, c.* FROM (SELECT *, CAST('0x' || substr(md5('0:' || k || ':' || image_id), 1, 8) AS BIGINT) AS u FROM cnt, range(1, 201) AS r(k)) c), "
+    + f"s AS (SELECT replicate, {', '.join(f'sum({c} * w) AS {c}' for c in USED)} FROM b WHERE w > 0 GROUP BY 1), t AS (SELECT {', '.join(f'sum({c}) AS {c}' for c in USED)} FROM cnt), "
+    + "v AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, CASE WHEN {d} > 0 THEN {n}/{d} END AS value FROM s" for m, (n, d) in evaluate.METRICS.items()) + "), "
+    + "z AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({n} AS BIGINT) AS numerator, CAST({d} AS BIGINT) AS denominator, CASE WHEN {d} > 0 THEN {n}/{d} END AS value FROM t" for m, (n, d) in evaluate.METRICS.items()) + "), "
+    + "q AS (SELECT metric, quantile_cont(value, 0.05) AS lower, coalesce(min(value) = max(value), true) AS flat FROM v GROUP BY 1) "
+    + "SELECT z.metric, numerator, denominator, CAST(floor(value * 1e9) AS BIGINT) AS value, CASE WHEN NOT flat THEN CAST(round(lower * 1e6) AS BIGINT) END AS lower_95, CASE WHEN flat THEN 'inconclusive_degenerate' ELSE 'descriptive_only' END AS interval_status FROM z JOIN q USING (metric)"
+)
+def evaluate_bootstrap(spark, sf):
+    """Values in billionths and lower bounds in millionths."""
+    made = evaluate.bootstrap_distributed(evaluate.image_counts(*panel(spark, sf), scope=SCOPE))
+    return made.withColumns({"value": F.floor(F.col("value") * 1e9), "lower_95": F.round(F.col("lower_95") * 1e6).cast("long")})
 
 
 @query(f"""WITH {PANEL}, a AS (SELECT domain, sum(s50)/sum(scored) AS scoped, sum(m50)/sum(final) AS unscoped FROM cnt GROUP BY 1) SELECT *, scoped - unscoped AS delta FROM a""")
@@ -246,7 +252,7 @@ def nearest_operating_point(spark, sf):
     counts = events.join(F.broadcast(at), F.col("value") >= F.col("threshold") * 100).groupBy("pos", "threshold").agg(F.count("*").alias("n"))
     points = at.join(counts.select("pos", "n"), "pos", "left").fillna(0, ["n"])
     users = events.groupBy("user_id").agg(F.count("*").alias("accepted"))
-    return spatial.nearest_row(users, F.broadcast(points), F.col("accepted") * 60, F.col("n"), "pos", ["threshold", "n"]).select("user_id", "accepted", "threshold", "n")
+    return spatial.nearest_row(users, points, F.col("accepted") * 60, F.col("n"), "pos", ["threshold", "n"]).select("user_id", "accepted", "threshold", "n")
 
 
 # ---- audit --------------------------------------------------------------------------------------------

@@ -250,8 +250,8 @@ def test_knn_vote_of_all(spark, sf, monkeypatch):
         votes = {c: (sum(n[2] == c for n in near), max(-n[0] for n in near if n[2] == c), c) for _, _, c in near}
         ranked = sorted(votes.values(), reverse=True)
         want[r.vec_id] = (ranked[0][2], ranked[0][0], ranked[1][2] if len(ranked) > 1 else None)
-    for bank in (spatial.BANK_ROWS, 200):
-        monkeypatch.setattr(spatial, "BANK_ROWS", bank)
+    for bank in (spatial.BANK_BYTES, 100_000):
+        monkeypatch.setattr(spatial, "BANK_BYTES", bank)
         got = {r.id: (r.label, r.votes, r.runner_up) for r in plans.QUERIES["join_knn_vote"](spark, sf).collect()}
         assert len(want) == len(rows) and got == want
 
@@ -261,7 +261,7 @@ def test_bank_in_parts(spark, monkeypatch):
     bank = spark.createDataFrame([(i, [rnd.random(), rnd.random()], f"l{i % 4}") for i in range(50)], "id long, vector array<double>, label string")
     q = spark.createDataFrame([(100 + i, [rnd.random(), rnd.random()]) for i in range(10)], "id long, vector array<double>")
     whole = sorted(map(tuple, spatial.knn_vote(q, bank).collect()))
-    monkeypatch.setattr(spatial, "BANK_ROWS", 12)
+    monkeypatch.setattr(spatial, "BANK_BYTES", 1000)
     assert sorted(map(tuple, spatial.knn_vote(q, bank).collect())) == whole
 
 
@@ -327,6 +327,24 @@ def test_audit_by_hand(spark):
     assert r.corrected_precision == 0.1 and r.low == 0.1 and 0.1 < r.high < 0.2
 
 
+def test_quantiles_of_a_few_rows(spark):
+    rows = spark.createDataFrame([(float(x),) for x in (3, 1, 2, 2)] + [(None,)], "score double")
+    got = [r.threshold for r in diagnose.score_quantiles(rows, 4).collect()]
+    assert got == [1.0, 2.0, 3.0] and diagnose.score_quantiles(rows.limit(0), 4).collect() == []
+    rnd = random.Random(2)
+    values = [rnd.random() for _ in range(500)]
+    got = [r.threshold for r in diagnose.score_quantiles(spark.createDataFrame([(x,) for x in values], "score double").repartition(6), 20).collect()]
+    assert len(got) == 20 and max(abs(a - b) for a, b in zip(got, np.quantile(values, [i / 19 for i in range(20)]))) < 1e-12
+
+
+def test_running_sum_by_range(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", "b", None]), i, rnd.randint(1, 9)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, o int, n long")
+    got = {(r.k, r.o): r.run for r in review.global_sum(df, ["k"], [F.col("o").desc()], "n", "run").collect()}
+    assert got == {(k, o): sum(m for j, p, m in rows if j == k and p >= o) for k, o, _ in rows}
+
+
 def test_highest_threshold(spark):
     rows = spark.createDataFrame([(s / 10, True) for s in range(1, 11)] + [(None, True), (0.99, False)], "score double, known boolean")
     got = {r.target: r.threshold for r in diagnose.highest_threshold(rows, [0.5, 0.9]).collect()}
