@@ -74,8 +74,9 @@ w AS (SELECT doc_id, kind, unnest(list_distinct(string_split_regex(lower(t), '[\
 f AS (SELECT term, count(*) AS df FROM w WHERE kind = 0 AND term <> '' GROUP BY term),
 lex AS (SELECT term, sha256('i-match:' || term) AS h FROM f, (SELECT count(*) AS total FROM d) WHERE df BETWEEN greatest(2.0, {imatch.RARE} * total) AND greatest(2.0, {imatch.COMMON} * total)),
 s AS (SELECT CAST(k - 1 AS INTEGER) AS k, [{", ".join(map(str, imatch.SUBSETS))}][k] AS share FROM range(1, {_DIGESTS + 1}) AS r(k)),
-m AS (SELECT term, k FROM lex, s WHERE k = 0 OR CAST('0x' || substr(h, 2 * k, 2) AS INTEGER) < share),
-g AS (SELECT doc_id, kind, k, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, {imatch.DIGEST}) AS h FROM w JOIN m USING (term) GROUP BY 1, 2, 3),
+mk AS (SELECT term, h, k FROM lex, s WHERE k = 0 OR CAST('0x' || substr(h, 2 * k, 2) AS INTEGER) < share),
+m AS (SELECT mk.term, k, number FROM mk JOIN (SELECT term, ((CAST('0x' || substr(any_value(h), 49, 10) AS BIGINT) >> 1) << {_DIGESTS}) + CAST(sum(1 << k) AS BIGINT) AS number FROM mk GROUP BY term) USING (term)),
+g AS (SELECT doc_id, kind, k, substr(md5(string_agg(CAST(number AS VARCHAR), ' ' ORDER BY number)), 1, {imatch.DIGEST}) AS h FROM w JOIN m USING (term) GROUP BY 1, 2, 3),
 a AS (SELECT x.doc_id, x.kind, any_value(x.t) AS t, list(coalesce(g.h, '{imatch.NONE}') ORDER BY s.k) AS l FROM x CROSS JOIN s LEFT JOIN g ON g.doc_id = x.doc_id AND g.kind = x.kind AND g.k = s.k GROUP BY 1, 2),
 p AS (SELECT doc_id, kind, CASE WHEN len(list_filter(l, lambda y: y <> '{imatch.NONE}')) = 0 THEN [substr(md5(t), 1, {imatch.DIGEST}) FOR i IN range(0, {_DIGESTS})] ELSE l END AS l FROM a)
 SELECT e.doc_id, CAST(e.n AS BIGINT) AS n_chars, sha256(e.edited) AS edited_sha256, array_to_string(p.l, '') AS fingerprint, array_to_string(q.l, '') AS edited_fingerprint,

@@ -22,12 +22,16 @@ def brute(rows):
     def subset(w, k):
         return k == 0 or int(hashlib.sha256(f"i-match:{w}".encode()).hexdigest()[2 * k - 1 : 2 * k + 1], 16) < imatch.SUBSETS[k]
 
+    def number(w):
+        own = int(hashlib.sha256(f"i-match:{w}".encode()).hexdigest()[48:58], 16) >> 1
+        return (own << len(imatch.SUBSETS)) + sum(1 << k for k in range(len(imatch.SUBSETS)) if subset(w, k))
+
     def fingerprint(t):
         parts = []
         for k in range(len(imatch.SUBSETS)):
-            kept = sorted((w for w in split(t) if w in lexicon and subset(w, k)), key=str.encode)
-            parts.append(md5(" ".join(kept))[:8] if kept else imatch.NONE)
-        return parts if set(parts) != {imatch.NONE} else [md5(t)[:8]] * len(parts)
+            kept = sorted(number(w) for w in split(t) if w in lexicon and subset(w, k))
+            parts.append(md5(" ".join(map(str, kept)))[: imatch.DIGEST] if kept else imatch.NONE)
+        return parts if set(parts) != {imatch.NONE} else [md5(t)[: imatch.DIGEST]] * len(parts)
 
     def likeness(a, b):
         some = [(x, y) for x, y in zip(a, b) if x != imatch.NONE or y != imatch.NONE]
