@@ -31,7 +31,7 @@ SMOOTH = 0.5
 #: Runs of letters with the marks that belong to them; digits, numerals, signs and underscores are no letters.
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Scores (words times languages) that a worker keeps; words beyond are scored again when they return.
-CACHE = 4_000_000
+CACHE = 1_000_000
 #: Texts that are scored together.
 TEXTS = 256
 UNKNOWN = "und"
@@ -213,9 +213,9 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            made = scorer(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], ["id", "lang_pred", "score"])
+        for part in (batch.slice(at, TEXTS) for batch in batches for at in range(0, batch.num_rows, TEXTS)):
+            made = scorer(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], ["id", "lang_pred", "score"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

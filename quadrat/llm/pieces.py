@@ -23,7 +23,7 @@ MARK = "▁"
 #: A marked word: white-space markers (or spaces, which become markers) and what follows up to the next.
 CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*|[^ {MARK}]+")
 #: Chunks that a worker keeps, and the longest of them in characters.
-CACHE, CACHED_CHARS = 300_000, 48
+CACHE, CACHED_CHARS = 150_000, 48
 #: Texts whose distinct chunks are listed together.
 TEXTS = 128
 

@@ -44,8 +44,8 @@ SET_SEGMENTS = tuple((k, at, 16) for k in range(WORDS) for at in range(0, 64, 16
 SET_DISTANCE = 26
 #: Shingles of the texts that a task compares with each other, about; larger groups are dealt out as pairs of blocks.
 SHINGLES = 200_000
-#: Distinct words that a process keeps with their hashes.
-SEEN = 500_000
+#: Distinct words that a task keeps with their hashes; texts that it looks at together.
+SEEN, TEXTS = 100_000, 256
 
 
 def _ones(hashes: np.ndarray) -> np.ndarray:
@@ -78,13 +78,20 @@ def text_fingerprint(data: bytes, width: int = WIDTH) -> int:
 
 
 def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _few(batches):
         texts = batch.column(1).cast(pa.binary()).dictionary_encode()
         prints = np.array([text_fingerprint(x) for x in texts.dictionary.to_pylist()] + [0], np.uint64).view(np.int64)
         at = texts.indices.fill_null(len(prints) - 1).to_numpy(zero_copy_only=False)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints[at])], ["id", "bits"])
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most TEXTS at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, bits): every row's fingerprint as a signed bigint; a null text counts as empty."""
     kind = docs.schema[id_col].dataType
@@ -299,17 +306,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_hot(prints, named, "bits", "rows").select("id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-_seen: dict[bytes, int] = {}
-
-
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    """XXH64 of each word; words seen by this process are kept with theirs, a bounded number of them."""
-    fresh = {w for w in words if w not in _seen}
-    if len(_seen) + len(fresh) > SEEN:
-        _seen.clear()
+def _word_hashes(words: list[bytes], seen: dict[bytes, int]) -> np.ndarray:
+    """XXH64 of each word; words are kept in seen with theirs, a bounded number of them."""
+    fresh = {w for w in words if w not in seen}
+    if len(seen) + len(fresh) > SEEN:
+        seen.clear()
         fresh = set(words)
-    _seen.update((w, xxhash.xxh64_intdigest(w, SEED)) for w in fresh)
-    return np.fromiter(map(_seen.__getitem__, words), np.uint64, len(words))
+    seen.update((w, xxhash.xxh64_intdigest(w, SEED)) for w in fresh)
+    return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 
 
 def _remixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -319,9 +323,9 @@ def _remixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(data: bytes, width: int = SET_WIDTH) -> np.ndarray:
+def shingle_set(data: bytes, width: int = SET_WIDTH, seen: dict[bytes, int] | None = None) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a UTF-8 text's shingles of lower-case words, made of the words' hashes; empty without words."""
-    hashes = _word_hashes(data.lower().split())
+    hashes = _word_hashes(data.lower().split(), {} if seen is None else seen)
     if not len(hashes):
         return hashes
     n = max(1, len(hashes) - width + 1)
@@ -345,11 +349,12 @@ def wide_print(hashes: np.ndarray, words: int = WORDS) -> list[int]:
 
 def _set_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batch's other columns, and of its last, the text: a digest of the shingle set, its size and its fingerprint."""
-    for batch in batches:
+    seen: dict[bytes, int] = {}
+    for batch in _few(batches):
         texts = batch.column(batch.num_columns - 1).cast(pa.binary()).fill_null(b"").dictionary_encode()
         made = []
         for x in texts.dictionary.to_pylist():
-            hashes = shingle_set(x)
+            hashes = shingle_set(x, seen=seen)
             made.append((np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).astype(np.int64), len(hashes), *wide_print(hashes)))
         at = texts.indices.to_numpy()
         columns = [pa.array(np.array(c, np.int64)[at]) for c in zip(*made)] if made else [pa.array([], pa.int64())] * (2 + WORDS)
@@ -359,12 +364,11 @@ def _set_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batch's other columns and, for its last, the text, the sorted hashes of its shingles; few texts at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
-            made = [shingle_set((x or "").encode()).view(np.int64) for x in part.column(part.num_columns - 1).to_pylist()]
-            ends = pa.array(np.cumsum([0, *map(len, made)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(made)))], [*part.schema.names[:-1], "hashes"])
+    seen: dict[bytes, int] = {}
+    for part in _few(batches):
+        made = [shingle_set((x or "").encode(), seen=seen).view(np.int64) for x in part.column(part.num_columns - 1).to_pylist()]
+        ends = pa.array(np.cumsum([0, *map(len, made)]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(made)))], [*part.schema.names[:-1], "hashes"])
 
 
 def _similar(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:

@@ -14,7 +14,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +32,9 @@ BATCH = 64
 #: Step and pull to zero of weights, the same of factors and their first deviation, and what squared gradients start from.
 STEP, LASSO, FACTOR_STEP, DECAY, SPREAD, START = 0.3, 7e-4, 0.05, 1e-4, 0.01, 1e-2
 WORD = re.compile(r"[^\W_]+")
-CACHE = 200_000
+CACHE = 100_000
+#: Texts that are looked at together.
+TEXTS = 512
 
 
 def held_out(id_col: Column) -> Column:
@@ -154,9 +155,11 @@ def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """The batch's other columns and, for its last, the text, its hashed terms."""
     terms = Terms()
     for batch in batches:
-        made = [terms(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
-        ends = pa.array(np.cumsum([0, *map(len, made)]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*made, np.empty(0, np.int32)])))], [*batch.schema.names[:-1], "terms"])
+        for at in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(at, TEXTS)
+            made = [terms(x) for x in part.column(part.num_columns - 1).to_pylist()]
+            ends = pa.array(np.cumsum([0, *map(len, made)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(made)))], [*part.schema.names[:-1], "terms"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> dict:
@@ -187,7 +190,9 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Known(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(shared.value, batch.column(1).to_pylist(), terms), pa.float64())], ["id", "score"])
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(shared.value, part.column(1).to_pylist(), terms), pa.float64())], ["id", "score"])
 
     kind = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, kind)
@@ -208,10 +213,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """The rows of docs, with its columns, that score below 0.5."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))
 
-    @F.pandas_udf(T.DoubleType())
-    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.DoubleType())
+    def toxic(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         terms = Known(shared.value)
         for texts in batches:
-            yield pd.Series(scores(shared.value, texts, terms))
+            parts = [scores(shared.value, texts.slice(at, TEXTS).to_pylist(), terms) for at in range(0, len(texts), TEXTS)]
+            yield pa.array(np.concatenate([np.empty(0), *parts]))
 
     return docs.filter(toxic(F.col(text_col)) < 0.5)
