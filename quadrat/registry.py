@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quadrat.plans import pipelines, reports, rules, spatial
+from quadrat.plans import files, pipelines, reports, rules, spatial
 
-PLANS = (spatial, rules, reports, pipelines)
+PLANS = (spatial, rules, reports, pipelines, files)
 
 
 def flagship(spark, sf_dir):
