@@ -444,8 +444,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     rooted = cut(sets.join(found, F.col("bits") == F.col("node"), "left").select("digest", "first", "n", F.coalesce("root", "bits").alias("root")))
     total = F.sum(F.col("n") + 1)
     busy = cut(rooted.groupBy("root").agg(F.count("*").alias("members"), F.when(total <= 2 * shingles, 1).otherwise(F.ceil(total / shingles) + 1).cast("int").alias("parts")).filter("members > 1"))
-    grouped = cut(join_hot(rooted, busy, "root", "members").select("digest", "root", "parts"))
-    reps = rooted.join(grouped.select("digest", "parts"), "digest", "left").select(F.col("first.h1").alias("__h1"), F.col("first.h2").alias("__h2"), F.col("digest").alias("__digest"), F.when(F.col("parts").isNotNull(), F.col("root")).alias("__root"), F.col("parts").alias("__parts"))
+    grouped = join_hot(rooted, busy, "root", "members").select("digest", "parts")
+    reps = rooted.join(grouped, "digest", "left").select(F.col("first.h1").alias("__h1"), F.col("first.h2").alias("__h2"), F.col("digest").alias("__digest"), F.when(F.col("parts").isNotNull(), F.col("root")).alias("__root"), F.col("parts").alias("__parts"))
     single = Window.partitionBy("__h1", "__h2").orderBy("__digest")
     kept, _ = written(keyed.join(reps, ["__h1", "__h2"]).withColumn("__n", F.row_number().over(single)).filter("__n = 1").drop("__n", "__h1", "__h2"))
     alone, unsure = kept.filter("__root is null").select(*docs.columns), kept.filter("__root is not null")

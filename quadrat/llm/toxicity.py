@@ -27,7 +27,7 @@ LEAST_SHARE, LEAST_DF = 0.0025, 3
 PREFIXES = (4, 5)
 FACTORS = 4
 #: Passes over the rows with weights alone and with both: so many batches, within the limits that follow.
-PASSES = ((2000, 10, 30), (800, 5, 12))
+PASSES = ((1500, 10, 300), (600, 5, 12))
 BATCH = 64
 #: Step and pull to zero of weights, the same of factors and their first deviation, and what squared gradients start from.
 STEP, LASSO, FACTOR_STEP, DECAY, SPREAD, START = 0.3, 7e-4, 0.05, 1e-4, 0.01, 1e-2
@@ -174,10 +174,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
     key = F.xxhash64("id").alias("key")
     data = texts.select(key, "label", "text").mapInArrow(_hash_batches, "key long, label int, terms array<int>").toArrow()
-    flat = data.column("terms").combine_chunks()
-    values, ends = flat.flatten().to_numpy(), flat.offsets.to_numpy() - (flat.offsets[0].as_py() or 0) if len(flat) else np.zeros(1, np.int64)
-    terms = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
-    keys, given = data.column("key").to_numpy(), data.column("label").to_numpy()
+    keys, given, terms = data.column("key").to_numpy(), data.column("label").to_numpy(), []
+    for part in data.column("terms").chunks:
+        values, ends = part.flatten().to_numpy().copy(), part.offsets.to_numpy() - part.offsets[0].as_py() if len(part) else np.zeros(1, np.int64)
+        terms += [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    del data
+    pa.default_memory_pool().release_unused()
     # the same rows in the same order, whatever the partitioning
     order = sorted(range(len(terms)), key=lambda i: (keys[i], len(terms[i]), zlib.crc32(np.ascontiguousarray(terms[i]).tobytes())))
     return fit([terms[i] for i in order], given[order].astype(np.float64))
