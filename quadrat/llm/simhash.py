@@ -264,14 +264,30 @@ def links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK, segme
     return ordered.mapInArrow(_link_batches(distance), "a long, b long")
 
 
+def _star_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a partition as stars, at most one link for each node but their centres."""
+    a, b, held = [], [], 0
+    for batch in batches:
+        a.append(batch.column(0).to_numpy())
+        b.append(batch.column(1).to_numpy())
+        if sum(map(len, a)) > 2 * held + 500_000:
+            x, y = _stars(np.concatenate(a), np.concatenate(b))
+            a, b, held = [x], [y], len(x)
+    if sum(map(len, a)):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _stars(np.concatenate(a), np.concatenate(b))], ["a", "b"])
+
+
 def components(pairs: DataFrame, most: int = 50) -> DataFrame:
     """(node, root): every linked node but the roots, with the smallest node of its component.
 
-    Alternating large-star and small-star contraction; each round ends in the shared folder. A node's
+    Links that came from different tasks may name a node's group by many centres; partitions by node first
+    turn them into stars of common centres, so that a group has about as many links as nodes. Then
+    alternating large-star and small-star contraction; each round ends in the shared folder. A node's
     links are only joined and pre-aggregated, never gathered, so a star of any size is split by the
     adaptive skew join.
     """
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+    pairs = cut(pairs.repartition("b").mapInArrow(_star_batches, "a long, b long").distinct())
     before = None
     for _ in range(most):
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
