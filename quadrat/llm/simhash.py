@@ -292,11 +292,11 @@ def components(pairs: DataFrame, most: int = 50) -> DataFrame:
     for _ in range(most):
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("a"), F.min("b")).alias("m"))
-        large = pairs.join(least, F.col("a") == F.col("u")).select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+        large = pairs.join(least, F.col("a") == F.col("u")).select(F.col("m").alias("a"), "b").filter("a < b")
         least = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         small = large.join(least, F.col("b") == F.col("u")).select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), "b"))).alias("e")).select("e.a", "e.b").filter("a < b").distinct()
         pairs = cut(small)
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("b")).first()
+        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
             break
         before = state
