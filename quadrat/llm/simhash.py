@@ -7,8 +7,9 @@ variant are verified by their exact distance, and what survives is reduced to sp
 leaves the task. Components come from alternating star contraction.
 
 For a similarity (Jaccard) of shingle sets, which no number of differing bits stands for, a fingerprint has
-three words of 64 bits in twelve segments; what meets under a variant is a candidate if part of the
-fingerprint agrees, and is linked if the sets themselves are similar enough.
+three words of 64 bits in twelve segments; what shares a variant is a candidate if the whole fingerprints
+agree well enough, and is linked if the sets themselves are similar enough. A wildcard leaves one half of
+its segment as it is, so these fingerprints are indexed under the halves, and variants are made in the task.
 """
 
 from __future__ import annotations
@@ -33,15 +34,18 @@ SEGMENTS = ((0, 0, 21), (0, 21, 21), (0, 42, 22))
 BLOCK = 4096
 #: Hot variants that may be broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 100_000
-SMALL = 24
+#: Prints of a group that are compared by shifts, and all with all at once; larger groups are searched print by print.
+SMALL, SQUARE = 24, 1024
 #: Of similar texts: words in a shingle, least similarity, words of a fingerprint and their segments. A pair
 #: at 0.8 differs in 15% of the bits and shares a variant of some segment with probability 0.98, one at 0.85
 #: with 0.996. Longer segments (and more words) suit more documents: one variant holds N / 2**15 of N.
 SET_WIDTH, SIMILARITY, WORDS = 5, 0.8, 3
 SET_SEGMENTS = tuple((k, at, 16) for k in range(WORDS) for at in range(0, 64, 16))
-#: Differing bits of a candidate among the first word and the high half of the second: 3.3 deviations above
-#: the mean at 0.8, 4.5 below that of unrelated texts.
-SET_DISTANCE = 26
+#: Differing bits of a candidate: 4.7 deviations above the mean at 0.8. Of unrelated texts that share a variant,
+#: 3 in 10**8 pass (176 other bits); far fewer than one for each text, or chance would chain most texts together.
+SET_DISTANCE = 52
+#: A half of a segment is dealt out in blocks if it holds so many times the mean (and over BLOCK).
+HOT = 4
 #: Shingles of the texts that a task compares with each other, about; larger groups are dealt out as pairs of blocks.
 SHINGLES = 200_000
 #: Distinct words that a task keeps with their hashes; texts that it looks at together.
@@ -178,6 +182,18 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[root[kept]], nodes[kept]
 
 
+def _square(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """As _spanning, for prints of several words: all pairs at once, unless they are many."""
+    counts = np.zeros((len(prints), len(prints)), np.uint8)
+    for word in prints.T:
+        counts += np.bitwise_count(word[:, None] ^ word)
+    near = counts <= distance
+    if np.count_nonzero(near) > 8 * len(prints):
+        return _spanning(prints, distance)
+    x, y = np.nonzero(near)
+    return x[x < y], y[x < y]
+
+
 def _group_links(key: np.ndarray, prints: np.ndarray, distance: int) -> tuple[list, list]:
     """Links inside each run of equal keys, named by the first word of the prints."""
     a, b = [], []
@@ -196,13 +212,37 @@ def _group_links(key: np.ndarray, prints: np.ndarray, distance: int) -> tuple[li
             a.append(f[same])
             b.append(f[same + d])
     for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
-        x, y = _spanning(prints[s : s + n], distance)
+        x, y = (_square if prints.ndim > 1 and n <= SQUARE else _spanning)(prints[s : s + n], distance)
         a.append(first[s + x])
         b.append(first[s + y])
     return a, b
 
 
-def _link_batches(distance: int):
+def _halves(segments: tuple) -> list[tuple[tuple, tuple]]:
+    """Both halves of each segment, each with the other one."""
+    pairs = [((k, at, n // 2), (k, at + n // 2, n - n // 2)) for k, at, n in segments]
+    return [x for low, high in pairs for x in ((low, high), (high, low))]
+
+
+def _half_links(key: np.ndarray, prints: np.ndarray, distance: int, segments: tuple) -> tuple[list, list]:
+    """Links inside each run of equal keys (halves of segments) among prints that share a variant of the segment."""
+    halves = _halves(segments)
+    width = max(h[0][2] for h in halves)
+    word, first, bits = np.array([other for _, other in halves])[key >> 32 >> width].T
+    value = (prints[np.arange(len(prints)), word] >> first.astype(np.uint64)).astype(np.int64) & ((1 << bits) - 1)
+    run = np.cumsum(np.concatenate(([0], key[1:] != key[:-1]))) << width
+    a, b = [], []
+    for i in range(width):
+        variant = run | (value & ~(1 << i))
+        order = np.argsort(variant, kind="stable")
+        x, y = _group_links(variant[order], prints[order], distance)
+        a, b = a + x, b + y
+    return a, b
+
+
+def _link_batches(find):
+    """find: links inside each run of equal keys of (sorted keys, prints)."""
+
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, prints = np.empty(0, np.int64), None
         a, b, held = [], [], 0
@@ -220,13 +260,13 @@ def _link_batches(distance: int):
             new = words[0] if len(words) == 1 else np.stack(words, axis=1)
             prints = new if prints is None else np.concatenate((prints, new))
             whole = int(np.searchsorted(key, key[-1]))  # the last group may go on in the next batch
-            x, y = _group_links(key[:whole], prints[:whole], distance)
+            x, y = find(key[:whole], prints[:whole]) if whole else ([], [])
             a, b = a + x, b + y
             key, prints = key[whole:], prints[whole:]
             if sum(map(len, a)) > 2 * held + 500_000:
                 held = flush()
         if prints is not None:
-            x, y = _group_links(key, prints, distance)
+            x, y = find(key, prints)
             a, b = a + x, b + y
         if sum(map(len, a)):
             flush()
@@ -240,28 +280,52 @@ def _pair(own: Column, parts: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(j, own) * F.lit(32768) + F.greatest(j, own))
 
 
-def links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK, segments: tuple = SEGMENTS, carried: tuple = ("bits",)) -> DataFrame:
-    """(a, b): links that connect all distinct fingerprints that share a variant and differ in at most distance bits.
-
-    prints has distinct fingerprints; the carried words are compared, the first of them names a fingerprint.
-    With the standard segments no pair within four bits is missed. Variants that hold more than block
-    fingerprints are dealt out as pairs of blocks, so that a task compares at most about 2 * block of them
-    and no pair is lost.
-    """
-    if segments == SEGMENTS and distance > 4:
-        raise ValueError("three segments with one wildcard find up to four differing bits")
-    index = variants(prints, list(carried), segments)
-    hot = cut(hot_variants(prints, block, segments))
+def _meet(index: DataFrame, hot: DataFrame, key: str, words: list[str], find) -> DataFrame:
+    """(a, b): links that find gives for the rows of each key, a hot key's (key, parts) by pairs of blocks."""
     n = hot.count()
     if n:
         side = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
-        own = F.pmod(F.xxhash64(*carried), F.col("parts")).cast("int")
+        own = F.pmod(F.xxhash64(*words), F.col("parts")).cast("int")
         pair = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(_pair(own, F.col("parts"))))
-        index = index.join(side, "variant", "left").select("variant", *carried, F.explode(pair).alias("pair"))
+        index = index.join(side, key, "left").select(key, *words, F.explode(pair).alias("pair"))
     else:
         index = index.withColumn("pair", F.lit(0))
-    ordered = index.select("variant", F.col("pair").cast("int").alias("pair"), *carried).repartition("variant", "pair").sortWithinPartitions("variant", "pair")
-    return ordered.mapInArrow(_link_batches(distance), "a long, b long")
+    ordered = index.select(key, F.col("pair").cast("int").alias("pair"), *words).repartition(key, "pair").sortWithinPartitions(key, "pair")
+    return ordered.mapInArrow(_link_batches(find), "a long, b long")
+
+
+def links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that connect all fingerprints that differ in at most distance bits.
+
+    prints has distinct fingerprints (bits). Variants that hold more than block fingerprints are dealt out
+    as pairs of blocks, so that a task compares at most about 2 * block of them and no pair is lost.
+    """
+    if distance > 4:
+        raise ValueError("three segments with one wildcard find up to four differing bits")
+    hot = cut(hot_variants(prints, block))
+    return _meet(variants(prints, ["bits"]), hot, "variant", ["bits"], lambda key, found: _group_links(key, found, distance))
+
+
+def half_index(prints: DataFrame, words: list[str], segments: tuple = SET_SEGMENTS) -> DataFrame:
+    """(words, half): each fingerprint under both halves of each segment, numbered in one int."""
+    halves = _halves(segments)
+    width = max(own[2] for own, _ in halves)
+    keys = [(_value(*own) + F.lit(n << width)).cast("int") for n, (own, _) in enumerate(halves)]
+    return prints.select(*words, F.explode(F.array(*keys)).alias("half"))
+
+
+def set_links(prints: DataFrame, words: list[str], distance: int = SET_DISTANCE, block: int = BLOCK, segments: tuple = SET_SEGMENTS) -> DataFrame:
+    """(a, b): links that connect all distinct fingerprints that share a variant of a segment and differ in at most distance bits.
+
+    The first of the words names a fingerprint. One variant's fingerprints share a half of the segment, so
+    each fingerprint is sent twice a segment, not once a variant. A half that holds more than block
+    fingerprints and HOT times the mean is dealt out as pairs of blocks.
+    """
+    index = half_index(prints, words, segments)
+    held = cut(index.groupBy("half").count())
+    most = max(block, HOT * (held.agg(F.avg("count")).first()[0] or 0))
+    hot = held.filter(F.col("count") > most).select("half", (F.ceil(F.col("count") / (most / 2)) + 1).cast("int").alias("parts"))
+    return _meet(index, hot, "half", words, lambda key, found: _half_links(key, found, distance, segments))
 
 
 def _star_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,8 +519,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     order = F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2")
     words = ["bits", *(f"bits{k}" for k in range(1, WORDS))]
     sets = cut(rows.groupBy("digest").agg(F.min(order).alias("first"), F.first("n").alias("n"), *(F.first(w).alias(w) for w in words)))
-    half = F.shiftright("bits1", 32).cast("int").alias("half")
-    found = components(links(sets.select(*words, half).dropDuplicates(words), SET_DISTANCE, BLOCK, SET_SEGMENTS, ("bits", "half")))
+    found = components(set_links(sets.select(*words).dropDuplicates(words), words))
     rooted = cut(sets.join(found, F.col("bits") == F.col("node"), "left").select("digest", "first", "n", F.coalesce("root", "bits").alias("root")))
     total = F.sum(F.col("n") + 1)
     busy = cut(rooted.groupBy("root").agg(F.count("*").alias("members"), F.when(total <= 2 * shingles, 1).otherwise(F.ceil(total / shingles) + 1).cast("int").alias("parts")).filter("members > 1"))

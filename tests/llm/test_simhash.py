@@ -147,3 +147,54 @@ def test_keep_one_finds_similar_texts(spark):
         prints = [simhash.wide_print(simhash.shingle_set(rows[k][1].encode())) for k in (i, j)]
         found += any(((prints[0][k] ^ prints[1][k]) >> at & 0xFFFF).bit_count() <= 1 for k, at, _ in simhash.SET_SEGMENTS)
     assert found >= 0.97 * 400
+
+
+WIDE = ["bits", "bits1", "bits2"]
+
+
+def wide(spark, prints):
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    return spark.createDataFrame(signed, ", ".join(f"{w} long" for w in WIDE)), [r[0] for r in signed]
+
+
+def candidates(a, b):
+    """Whether two wide prints share a variant and differ in few enough of all their bits."""
+    apart = [x ^ y for x, y in zip(a, b)]
+    return any(((apart[k] >> at) & (1 << n) - 1).bit_count() <= 1 for k, at, n in simhash.SET_SEGMENTS) and sum(x.bit_count() for x in apart) <= simhash.SET_DISTANCE
+
+
+def test_set_links_lose_nothing(spark):
+    """Prints at all distances around a few centres: groups are those of all pairs, also when halves are dealt out in blocks."""
+    rnd = random.Random(7)
+    centres = [[rnd.getrandbits(64) for _ in WIDE] for _ in range(5)]
+    prints = {tuple(sum(1 << i for i in range(64) if rnd.random() < share) ^ w for w in c) for c in centres for share in (0.01, 0.1, 0.14, 0.2) for _ in range(20)}
+    prints |= {(0, 0, 0), (2**64 - 1,) * 3} | {tuple(w ^ 1 << rnd.randrange(64) for w in centres[0]) for _ in range(60)}
+    prints = sorted(prints)
+    df, names = wide(spark, prints)
+    root = list(range(len(prints)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if candidates(prints[i], prints[j]):
+                root[find(i)] = find(j)
+    groups = {}
+    for i, x in enumerate(names):
+        groups.setdefault(find(i), []).append(x)
+    want = [min(groups[find(i)]) for i in range(len(names))]
+    for block in (8, 40, 4096):
+        found = {r.node: r.root for r in simhash.components(simhash.set_links(df, WIDE, block=block)).collect()}
+        assert [found.get(x, x) for x in names] == want
+
+
+def test_unrelated_texts_are_no_candidates(spark):
+    """Chance alone chains no texts together, and a print is sent twice a segment: what is shuffled grows as the table."""
+    rnd = random.Random(9)
+    prints = [tuple(rnd.getrandbits(64) for _ in WIDE) for _ in range(12_000)]
+    df, _ = wide(spark, prints)
+    assert simhash.set_links(df, WIDE).count() == 0
+    assert simhash.half_index(df, WIDE).count() == 2 * len(simhash.SET_SEGMENTS) * len(prints)
