@@ -17,6 +17,16 @@ def ratio(hits, total) -> Column:
     return F.try_divide(_col(hits).cast("double"), _col(total).cast("double"))
 
 
+def ratio_sum(hits, total) -> Column:
+    """The sum of hits / total of whole numbers, to 27 decimals: unlike one of doubles it has no order, and a whole sum is whole."""
+    return F.sum(_col(hits).cast("decimal(10,0)") / _col(total).cast("decimal(26,0)"))
+
+
+def thousandths(total: Column) -> Column:
+    """The whole thousandths of a ratio_sum."""
+    return F.floor(F.round(total * F.lit(1000).cast("decimal(4,0)"), 20)).cast("long")
+
+
 def wilson(successes, trials, z: float = 1.96) -> Column:
     """struct(low, high): the Wilson interval within 0 and 1; (0, 1) without trials."""
     s, n = _col(successes).cast("double"), F.when(_col(trials) > 0, _col(trials).cast("double"))

@@ -128,7 +128,7 @@ def selectivity(retained: DataFrame, references: DataFrame, thresholds: DataFram
         raise ValueError("too_many_thresholds")
     refs = references.select("image_id", "ref", "ref_box")
     boxes = retained.select("image_id", "pos", "box", F.col(score).alias("score"))
-    close = overlap_join(boxes, refs).filter(g.iou_at_least("box", "ref_box", *MATCH)).select("image_id", "pos", "ref", "score", g.iou("box", "ref_box").alias("iou"))
+    close = overlap_join(boxes, refs, least=MATCH).select("image_id", "pos", "ref", "score", g.iou("box", "ref_box").alias("iou"))
     # the matching of all boxes rides along as a threshold of its own, null
     at = thresholds.unionByName(thresholds.sparkSession.createDataFrame([(None,)], thresholds.schema))
     swept = close.join(F.broadcast(at), F.col("threshold").isNull() | (F.col("score") >= F.col("threshold"))).select("threshold", "image_id", "pos", "ref", "iou")

@@ -18,15 +18,15 @@ NEAREST_ROWS = 10_000
 QUERY_BLOCK = 256  # query vectors a worker scores at a time
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key: str = "image_id", left_box: str = "box", right_box: str = "ref_box", cell: int | None = None) -> DataFrame:
-    """All pairs of one key whose boxes overlap; columns of both sides, key once.
+def overlap_join(left: DataFrame, right: DataFrame, key: str = "image_id", left_box: str = "box", right_box: str = "ref_box", cell: int | None = None, least: tuple[int, int] | None = None) -> DataFrame:
+    """All pairs of one key whose boxes overlap, or have an IoU of ``least`` (a fraction) or more; columns of both sides, key once.
 
     An equality join on the key with the overlap as its residual condition. With ``cell`` each box goes to
     the grid cells it touches and pairs meet by (key, cell); a pair is kept only in the cell of the larger
     of its two low corners, so it comes once. That splits images with very many boxes; pairs that do not
     overlap have IoU 0, below every threshold in use.
     """
-    both = g.overlaps(left_box, right_box)
+    both = g.iou_at_least(left_box, right_box, *least) if least else g.overlaps(left_box, right_box)
     if cell is None:
         return left.join(right, key).filter(both)
 

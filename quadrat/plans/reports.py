@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import geometry as g
 from quadrat.functions import labels as lb
-from quadrat.functions.stats import ratio
+from quadrat.functions.stats import ratio, ratio_sum, thousandths
 from quadrat.operators import diagnose, evaluate, review, spatial, verify
 from quadrat.operators.assignment import match
 from quadrat.sources.bridge import LABELS, OBS, ONTOLOGY, PAIRS, REFS, observations, references, table
@@ -155,9 +155,10 @@ def summary_counts(spark, sf):
 
 @query(f"""WITH {OBS}, {REFS}, {PAIRS}, b AS (SELECT image_id, ref, max(i/u) AS v FROM ov WHERE 2*i >= u GROUP BY 1, 2) SELECT image_id, grouping(image_id) = 1 AS is_total, count(*) AS matched, CAST(floor(sum(1-v)*1000) AS BIGINT) AS extent_error, count(*) FILTER (v < 0.75) AS loose FROM b GROUP BY ROLLUP (image_id)""")
 def per_image_rollup(spark, sf):
-    pairs = spatial.overlap_join(observations(spark, sf), refs_of(spark, sf).select("image_id", "ref", "ref_box")).filter(g.iou_at_least("box", "ref_box", 1, 2))
-    taken = match(pairs.select("image_id", "idx", "ref", g.iou("box", "ref_box").alias("iou")), ["image_id"], "idx", "ref")
-    return taken.rollup("image_id").agg((F.grouping("image_id") == 1).alias("is_total"), F.count("*").alias("matched"), F.floor(F.sum(F.lit(1) - F.col("iou")) * 1000).alias("extent_error"), F.count_if(F.col("iou") < 0.75).alias("loose"))
+    pairs = spatial.overlap_join(observations(spark, sf), refs_of(spark, sf).select("image_id", "ref", "ref_box"), least=(1, 2))
+    sides = [g.intersection("box", "ref_box").alias("i"), g.union_area("box", "ref_box").alias("u")]
+    taken = match(pairs.select("image_id", "idx", "ref", g.iou("box", "ref_box").alias("iou"), *sides), ["image_id"], "idx", "ref", carry=["i", "u"])
+    return taken.rollup("image_id").agg((F.grouping("image_id") == 1).alias("is_total"), F.count("*").alias("matched"), thousandths(ratio_sum(F.col("u") - F.col("i"), "u")).alias("extent_error"), F.count_if(F.col("iou") < 0.75).alias("loose"))
 
 
 # ---- diagnosis ----------------------------------------------------------------------------------------
@@ -399,7 +400,7 @@ SELECT o.label, count(*) AS n, count(*) FILTER (m.idx IS NOT NULL AND t.idx IS N
 def join_duplicates(spark, sf):
     """Unmatched boxes (anti join), and those of them that overlap a reference all the same (semi join)."""
     obs = observations(spark, sf)
-    pairs = spatial.overlap_join(obs, refs_of(spark, sf).filter("eligible").select("image_id", "ref", "ref_box")).filter(g.iou_at_least("box", "ref_box", 1, 2)).select("image_id", "idx", "ref", g.iou("box", "ref_box").alias("iou"))
+    pairs = spatial.overlap_join(obs, refs_of(spark, sf).filter("eligible").select("image_id", "ref", "ref_box"), least=(1, 2)).select("image_id", "idx", "ref", g.iou("box", "ref_box").alias("iou"))
     taken = match(pairs, ["image_id"], "idx", "ref").select("image_id", "idx")
     left = obs.join(taken, ["image_id", "idx"], "left_anti")
     again = left.join(pairs, ["image_id", "idx"], "left_semi")

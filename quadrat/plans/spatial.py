@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quadrat.functions import geometry as g
+from quadrat.functions.stats import ratio_sum, thousandths
 from quadrat.operators import cluster, spatial, tiles
 from quadrat.operators.assignment import match
 from quadrat.sources.bridge import OBS, PAIRS, REFS, SIZE, observations, references, table
@@ -181,16 +182,17 @@ def join_knn_vote(spark, sf):
 @query(f"WITH {BEST} SELECT count(*) AS pairs, count(DISTINCT (image_id, ref)) AS hit FROM (SELECT image_id, ref FROM ov WHERE 2*i >= u GROUP BY 1, 2)")
 def match_counts(spark, sf):
     """Size of the one-to-one matching; in these tables an observation reaches one reference at most, so distinct references bound it."""
-    pairs = spatial.overlap_join(observations(spark, sf), refs_of(spark, sf).select("image_id", "ref", "ref_box")).filter(g.iou_at_least("box", "ref_box", 1, 2))
+    pairs = spatial.overlap_join(observations(spark, sf), refs_of(spark, sf).select("image_id", "ref", "ref_box"), least=(1, 2))
     taken = match(pairs.select("image_id", "idx", "ref", g.iou("box", "ref_box").alias("iou")), ["image_id"], "idx", "ref")
     return taken.agg(F.count("*").alias("pairs"), F.countDistinct("image_id", "ref").alias("hit"))
 
 
 @query(f"""WITH {BEST}, r AS (SELECT image_id, ref, max(i/u) AS best FROM ov WHERE 2*i >= u GROUP BY 1, 2) SELECT image_id, count(*) AS matched, CAST(floor(sum(best) * 1000) AS BIGINT) AS total FROM r GROUP BY 1""")
 def match_per_image(spark, sf):
-    pairs = spatial.overlap_join(observations(spark, sf), refs_of(spark, sf).select("image_id", "ref", "ref_box")).filter(g.iou_at_least("box", "ref_box", 1, 2))
-    taken = match(pairs.select("image_id", "idx", "ref", g.iou("box", "ref_box").alias("iou")), ["image_id"], "idx", "ref")
-    return taken.groupBy("image_id").agg(F.count("*").alias("matched"), F.floor(F.sum("iou") * 1000).alias("total"))
+    pairs = spatial.overlap_join(observations(spark, sf), refs_of(spark, sf).select("image_id", "ref", "ref_box"), least=(1, 2))
+    sides = [g.intersection("box", "ref_box").alias("i"), g.union_area("box", "ref_box").alias("u")]
+    taken = match(pairs.select("image_id", "idx", "ref", g.iou("box", "ref_box").alias("iou"), *sides), ["image_id"], "idx", "ref", carry=["i", "u"])
+    return taken.groupBy("image_id").agg(F.count("*").alias("matched"), thousandths(ratio_sum("i", "u")).alias("total"))
 
 
 LEADS = f"""{OBS}, ord AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score_milli DESC, CAST(idx AS VARCHAR)) AS n FROM obs),
