@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,20 +94,29 @@ def stratified_sample(population: DataFrame, size: int, strata: list[str], keys:
     """About size rows: max(1, round half even of the stratum's share) of each stratum, then a seeded trim to size.
 
     Quotas come from counts of the strata; rows are ranked within their stratum by a seeded hash. Strata may
-    be small or hot: only the best rows of each are ranked together.
+    be small or hot: only rows whose hash is below a bound are ranked, which is counted to leave each its quota;
+    if it does not, all are.
     """
     if size <= 0:
         raise ValueError("invalid_sample_size")
-    counts = population.groupBy(*strata).agg(F.count("*").alias("__n"))
+    counts = cut(population.groupBy(*strata).agg(F.count("*").alias("__n")))
     total = counts.agg(F.sum("__n")).first()[0] or 0
     if total <= size:
         return population
     quota = F.greatest(F.lit(1), F.rint(F.lit(float(size)) * F.col("__n") / F.lit(float(total))))
-    place = seeded_order(seed, *keys)
-    ranked = population.join(counts, strata).withColumn("__at", place).withColumn("__rank", F.row_number().over(Window.partitionBy(*strata).orderBy("__at", *keys)))
+    quotas = counts.select(*strata, "__n", quota.alias("__quota"))
+    hashed = population.withColumn("__at", seeded_order(seed, *keys)).join(quotas, strata)
+    # of a stratum's hashes, which are spread evenly, those below this bound are its quota at least, all but surely
+    share = F.least(F.lit(1.0), (F.col("__quota") + 6 * F.sqrt("__quota") + 20) / F.col("__n"))
+    bound = F.when(share < 1, F.lower(F.lpad(F.hex((share * float(1 << 32)).cast("long")), 8, "0"))).otherwise("g")
+    low = cut(hashed.filter(F.col("__at") < bound))
+    short = quotas.join(low.groupBy(*strata).agg(F.count("*").alias("__low")), strata, "left").filter(F.coalesce("__low", F.lit(0)) < F.least("__quota", "__n"))
+    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in strata))  # the join leaves out null strata, as SQL's does
+    rows = low if short.filter(known).isEmpty() else hashed
+    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*strata).orderBy("__at", *keys)))
     # no quota is above size: as a literal it lets each task keep only the first rows of a stratum
-    taken = ranked.filter(F.col("__rank") <= size).filter(F.col("__rank") <= quota).drop("__n", "__rank")
-    return taken.orderBy(F.md5(F.concat(F.lit("trim|"), "__at")), *keys).limit(size).drop("__at")
+    taken = ranked.filter(F.col("__rank") <= size).filter(F.col("__rank") <= F.col("__quota")).drop("__n", "__quota", "__rank")
+    return taken.orderBy(F.md5(F.concat(F.lit("trim|"), "__at")), *keys).limit(size).select(*population.columns)
 
 
 def capped_bank(rows: DataFrame, label: str, keys: list[str], per_class: int, excluded: DataFrame | None = None, on: str = "sequence", least_side: float = 0.0, box: str | None = None, seed: int = 0) -> DataFrame:
@@ -134,9 +145,8 @@ def arm_label(label: str, mapping: dict[str, int], policy: str, parent: str = "v
     return F.struct(found.alias("class"), F.when(found.isNotNull(), F.lit(None).cast("string")).when(falls, F.lit(gone)).otherwise(unmapped).alias("reason"))
 
 
-def classify(boxes: DataFrame, tight: DataFrame, loose: DataFrame, keys: list[str]) -> DataFrame:
-    """boxes with kind: tight, loose or unmatched, from the matchings at a strict and at a lenient threshold."""
-    t = tight.select(*keys).distinct().withColumn("__t", F.lit(True))
-    s = loose.select(*keys).distinct().withColumn("__s", F.lit(True))
-    joined = boxes.join(t, keys, "left").join(s, keys, "left")
-    return joined.withColumn("match_kind", F.when(F.col("__t"), "tight").when(F.col("__s"), "loose").otherwise("unmatched")).drop("__t", "__s")
+def classify(boxes: DataFrame, taken: DataFrame, keys: list[str]) -> DataFrame:
+    """boxes with match_kind: tight, loose or unmatched; taken has the keys and matching (tight or loose) of what each matching took."""
+    held = taken.groupBy(*keys).agg(F.bool_or(F.col("matching") == "tight").alias("__t"))
+    joined = boxes.join(held, keys, "left")
+    return joined.withColumn("match_kind", F.when(F.col("__t"), "tight").when(F.col("__t").isNotNull(), "loose").otherwise("unmatched")).drop("__t")
