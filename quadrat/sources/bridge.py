@@ -25,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table's files whose rows one task takes: some hundred thousand rows of lineitem.
+TASK_BYTES = 4 << 20
+
+
+def tasks(df: DataFrame) -> int:
+    """Tasks for a table as read from its files: by their bytes, so that a task's rows don't grow with the table."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, idx, job, box, view_edge, score_milli, label); idx numbers an image's rows from 0."""
     line = table(spark, sf_dir, "lineitem")
@@ -32,7 +42,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("image_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     x1 = F.lit(24) * (F.col("l_partkey") % 3) + F.col("l_suppkey") % 5
     y1 = F.lit(24) * F.expr("(l_partkey % 9) div 3") + F.col("l_partkey") % 4
-    rows = line.withColumn("image_id", image).withColumn("idx", F.row_number().over(order) - 1)
+    used = line.select(image.alias("image_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    rows = used.repartition(tasks(line), "image_id").withColumn("idx", F.row_number().over(order) - 1)
     label = F.element_at(F.array(*map(F.lit, LABELS)), (((F.col("l_partkey") % 9) + (F.col("l_suppkey") % 10 == 0).cast("int")) % 4 + 1).cast("int"))
     return rows.select(
         "image_id",
@@ -47,7 +58,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, ref, box, permitted, eligible): the grid cells that an image has."""
-    images = table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 8").alias("image_id")).distinct()
+    line = table(spark, sf_dir, "lineitem")
+    images = line.select(F.expr("l_orderkey div 8").alias("image_id")).distinct().repartition(tasks(line), "image_id")
     cells = images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("ref")).filter((F.col("image_id") + F.col("ref")) % 4 != 0)
     x1, y1 = F.lit(24) * (F.col("ref") % 3) + 2, F.lit(24) * F.expr("ref div 3") + 1
     label = F.element_at(F.array(*map(F.lit, LABELS)), (F.col("ref") % 4 + 1).cast("int"))
