@@ -6,13 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions import geometry as g
 
+from .lineage import cut
+
 #: Bytes of vectors that a kNN bank may have to be sent to every worker, and its rows in one product.
-BANK_BYTES, BANK_BLOCK = 128 << 20, 8192
+BANK_BYTES, BANK_BLOCK = 32 << 20, 8192
 #: Rows of the side that nearest_row looks at as a whole.
 NEAREST_ROWS = 10_000
 QUERY_BLOCK = 256  # query vectors a worker scores at a time
@@ -97,37 +100,67 @@ def nearest_row(left: DataFrame, right: DataFrame, value: Column, other: Column,
     return rows.withColumn("__near", near.getField("keep")).withColumns({c: F.col(f"__near.{c}") for c in keep}).drop("__value", "__points", "__near")
 
 
+def best_columns(score: np.ndarray, k: int) -> np.ndarray:
+    """The columns of each row's k highest, highest first, of equal ones the first."""
+    least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+    row, column = np.nonzero(score >= least)
+    order = np.lexsort((column, -score[row, column], row))
+    row, column = row[order], column[order]
+    return column[np.arange(len(row)) - np.searchsorted(row, row) < k].reshape(len(score), k)
+
+
 def knn_vote(queries: DataFrame, bank: DataFrame, k: int = 5, id_col: str = "id", vector_col: str = "vector", label_col: str = "label", others: bool = False) -> DataFrame:
     """(id, label, votes, similarity, runner_up): the label with most of the k nearest bank vectors.
 
     others leaves a query's own id out of its nearest, for a bank that holds the queries.
 
     Inner product of the given vectors; ties of similarity go to the smaller bank id, ties of votes to the
-    higher similarity and then to the later label. A bank whose vectors have at most BANK_BYTES (checked)
-    goes to all workers, which take products in blocks; a larger one is cut by id into parts of that size,
-    one pass each, and the passes' nearest are merged. All vectors have one length.
+    higher similarity and then to the later label. Equal vectors of the bank are one, with their smallest
+    ids. A bank whose vectors have at most BANK_BYTES (checked) goes to all workers; a larger one is cut into
+    parts of that size, one pass each, and the passes' nearest are merged. Workers take products in blocks
+    and keep the nearest so far: their memory is a part and a block. All vectors have one length.
     """
-    size = bank.agg(F.sum(F.size(vector_col).cast("long") * 8 + 64)).first()[0] or 0
+    # of equal vectors the k + 1 smallest ids are all that can be among the k nearest, one's own left out
+    alike = bank.groupBy(F.col(vector_col).cast("array<double>").alias("vector")).agg(F.sort_array(F.collect_list(F.struct(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label")))).alias("held"))
+    alike = cut(alike.select("vector", F.slice("held", 1, k + 1).alias("held")))
+    size = alike.agg(F.sum(F.size("vector").cast("long") * 8 + 64)).first()[0] or 0
     parts = max(1, -(-size // BANK_BYTES))
     schema = f"{id_col} {queries.schema[id_col].dataType.simpleString()}, bank_id long, label string, similarity double"
     found = None
     for p in range(parts):
-        mine = bank.filter(F.pmod(F.xxhash64(id_col), F.lit(parts)) == p).select(id_col, vector_col, label_col).toArrow().sort_by(id_col)
+        mine = alike.filter(F.pmod(F.xxhash64("vector"), F.lit(parts)) == p).select("vector", "held", F.col("held")[0]["id"].alias("id")).toArrow().sort_by("id")
         if not mine.num_rows:
             continue
-        shared = queries.sparkSession.sparkContext.broadcast((mine[vector_col].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(mine.num_rows, -1), mine[id_col].to_numpy(), mine[label_col].to_numpy()))
+        vectors, held = mine["vector"].combine_chunks(), mine["held"].combine_chunks()
+        ids, names = (held.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("id", "label"))
+        starts = np.concatenate([[0], np.cumsum(pc.list_value_length(held).to_numpy())])
+        shared = queries.sparkSession.sparkContext.broadcast((vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(mine.num_rows, -1), starts, ids, names))
+        del mine, vectors, held
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            vectors, ids, labels = shared.value
+            vectors, starts, ids, names = shared.value
             for batch in (whole[i : i + QUERY_BLOCK] for whole in batches for i in range(0, len(whole), QUERY_BLOCK)):
-                product = np.stack([np.asarray(v, np.float64) for v in batch[vector_col]])
-                score = np.concatenate([product @ vectors[i : i + BANK_BLOCK].T for i in range(0, len(vectors), BANK_BLOCK)], axis=1)
-                if others:
-                    score[batch[id_col].to_numpy()[:, None] == ids[None, :]] = -np.inf
-                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(batch)), top.shape[1])
-                at = top.ravel()
-                yield pd.DataFrame({id_col: batch[id_col].to_numpy()[rows], "bank_id": ids[at], "label": labels[at], "similarity": score[rows, at]})[score[rows, at] > -np.inf]
+                product, own = np.stack([np.asarray(v, np.float64) for v in batch[vector_col]]), batch[id_col].to_numpy()
+                # the k + 1 best vectors so far, which hold the k best ids, one's own left out; of equal ones those of smaller ids
+                top, at = np.full((len(batch), k + 1), -np.inf), np.full((len(batch), k + 1), -1)
+                for i in range(0, len(vectors), BANK_BLOCK):
+                    score = product @ vectors[i : i + BANK_BLOCK].T
+                    rows = np.flatnonzero((score > top[:, -1:]).any(axis=1))
+                    some = np.argsort(-score[rows], axis=1, kind="stable")[:, : k + 1] if score.shape[1] <= 4 * (k + 1) else best_columns(score[rows], k + 1)
+                    both = np.concatenate([top[rows], np.take_along_axis(score[rows], some, axis=1)], axis=1)
+                    place = np.concatenate([at[rows], some + i], axis=1)
+                    keep = np.argsort(-both, axis=1, kind="stable")[:, : k + 1]
+                    top[rows], at[rows] = np.take_along_axis(both, keep, axis=1), np.take_along_axis(place, keep, axis=1)
+                row, column = np.nonzero(at >= 0)
+                v, n = at[row, column], starts[at[row, column] + 1] - starts[at[row, column]]
+                entry = np.repeat(starts[v] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                row, similarity = np.repeat(row, n), np.repeat(top[row, column], n)
+                fine = ids[entry] != own[row] if others else np.ones(len(row), bool)
+                row, entry, similarity = row[fine], entry[fine], similarity[fine]
+                order = np.lexsort((ids[entry], -similarity, row))
+                row, entry, similarity = row[order], entry[order], similarity[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                yield pd.DataFrame({id_col: own[row[first]], "bank_id": ids[entry[first]], "label": names[entry[first]], "similarity": similarity[first]})
 
         made = queries.select(id_col, vector_col).mapInPandas(run, schema)
         found = made if found is None else found.unionByName(made)
