@@ -38,7 +38,9 @@ def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
 def components(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The connected component of each edge (a, b) of a two-sided graph."""
     left, x = np.unique(a, return_inverse=True)
-    _, y = np.unique(b, return_inverse=True)
+    right, y = np.unique(b, return_inverse=True)
+    if len(left) == len(a) or len(right) == len(b):  # all nodes of a side have one edge: the other side's nodes are the components
+        return y if len(left) == len(a) else x
     root = np.arange(len(left) + y.max(initial=-1) + 1)
     y = y + len(left)
     while True:
@@ -83,6 +85,19 @@ def assign_edges(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray
     return taken
 
 
+def ordered_edges(frame: pd.DataFrame, keys: list[str], left: str, right: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, a, b): the order of a frame's rows by left and right within its groups, and numbers of the ends of the edges in it.
+
+    The frame is sorted by keys, so groups are runs of rows; no end is in two groups.
+    """
+    codes = np.stack([pd.factorize(frame[k], use_na_sentinel=False)[0] for k in keys])
+    group = np.concatenate([[0], np.cumsum((codes[:, 1:] != codes[:, :-1]).any(axis=0))]).astype(np.int64)[: len(frame)]
+    ends = [np.unique(frame[c].to_numpy(), return_inverse=True)[1] for c in (left, right)]
+    order = np.lexsort((ends[1], ends[0], group))
+    a, b = ((group * (e.max(initial=0) + 1) + e)[order] for e in ends)
+    return order, a, b
+
+
 def match(pairs: DataFrame, keys: list[str], left: str, right: str, iou: str = "iou", carry: list[str] | None = None) -> DataFrame:
     """The pairs that a one-to-one matching takes, in each group of keys.
 
@@ -94,10 +109,7 @@ def match(pairs: DataFrame, keys: list[str], left: str, right: str, iou: str = "
     wanted = pairs.select(*keys, left, right, iou, *(carry or []))
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([*keys, left, right], kind="stable")
-        group = frame.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
-        codes = [np.unique(frame[c].to_numpy(), return_inverse=True)[1] for c in (left, right)]
-        sides = [group.astype(np.int64) * (c.max(initial=0) + 1) + c for c in codes]
-        return frame[assign_edges(*sides, frame[iou].to_numpy(np.float64))]
+        order, a, b = ordered_edges(frame, keys, left, right)
+        return frame.iloc[order[assign_edges(a, b, frame[iou].to_numpy(np.float64)[order])]]
 
     return by_runs(wanted, keys, solve, wanted.schema)

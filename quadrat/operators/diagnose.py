@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.functions import geometry as g
 from quadrat.functions.stats import ratio
 
-from .assignment import match
+from .assignment import assign_edges, match, ordered_edges
+from .lineage import cut
 from .review import global_rank, global_sum
+from .runs import by_runs
 from .spatial import overlap_join
 
 #: The miss buckets, in the order in which they are tested.
@@ -129,10 +133,24 @@ def selectivity(retained: DataFrame, references: DataFrame, thresholds: DataFram
     refs = references.select("image_id", "ref", "ref_box")
     boxes = retained.select("image_id", "pos", "box", F.col(score).alias("score"))
     close = overlap_join(boxes, refs, least=MATCH).select("image_id", "pos", "ref", "score", g.iou("box", "ref_box").alias("iou"))
-    # the matching of all boxes rides along as a threshold of its own, null
-    at = thresholds.unionByName(thresholds.sparkSession.createDataFrame([(None,)], thresholds.schema))
-    swept = close.join(F.broadcast(at), F.col("threshold").isNull() | (F.col("score") >= F.col("threshold"))).select("threshold", "image_id", "pos", "ref", "iou")
-    found = match(swept, ["threshold", "image_id"], "pos", "ref").groupBy("threshold").agg(F.count("*").alias("matched_kept"))
+    # a pair goes to Python once, for all thresholds; the matching of all boxes rides along as a threshold of its own, null
+    at = sorted({r[0] for r in thresholds.select(F.col("threshold").cast("double")).distinct().collect() if r[0] is not None})
+
+    def taken(frame: pd.DataFrame) -> pd.DataFrame:
+        order, *sides = ordered_edges(frame, ["image_id"], "pos", "ref")
+        iou, s = (frame[c].to_numpy(np.float64)[order] for c in ("iou", "score"))
+        count = lambda mask: int(assign_edges(*(x[mask] for x in sides), iou[mask]).sum())
+        rows, left, last = [(None, count(np.ones(len(s), bool)))], None, 0
+        for t in at:
+            mask = s >= t
+            if (n := int(mask.sum())) != left:  # sets of rising thresholds are nested: as many are the same
+                left, last = n, count(mask)
+            rows.append((t, last))
+        return pd.DataFrame(rows, columns=["threshold", "n"])
+
+    scores = F.when(F.isnan("score"), float("inf")).otherwise(F.col("score").cast("double"))
+    found = by_runs(close.withColumn("score", scores), ["image_id"], taken, "threshold double, n long").groupBy("threshold").agg(F.sum("n").alias("matched_kept"))
+    found = cut(found)  # used twice, a row a threshold
     matched, whole = found.filter("threshold is not null"), found.filter("threshold is null").select(F.col("matched_kept").alias("matched_total"))
     kept = boxes.join(F.broadcast(thresholds), F.col("score") >= F.col("threshold")).groupBy("threshold").agg(F.count("*").alias("kept"))
     sizes = boxes.agg(F.count("*").alias("total")).join(refs.agg(F.count("*").alias("n_refs"))).join(whole, how="left").fillna(0)
@@ -151,15 +169,15 @@ def highest_threshold(rows: DataFrame, targets: list[float], score: str = "score
     positives. Distinct scores are counted before they are summed, and summed by range.
     """
     by = by or []
-    total = rows.filter(known).groupBy(*by).agg(F.count("*").alias("positives"))
-    counts = rows.filter(known).filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(F.count("*").alias("n"))
+    every = cut(rows.filter(known).groupBy(*by, F.col(score).alias("s")).agg(F.count("*").alias("n")))  # rows are looked at once
+    total, counts = every.groupBy(*by).agg(F.sum("n").alias("positives")), every.filter("s is not null")
     run = global_sum(counts, by, [F.col("s").desc()], "n", "kept")
     aims = F.array(*map(F.lit, targets))
     joined = run.join(total, by) if by else run.join(total)
     ok = joined.select(*by, "s", "kept", "positives", F.explode(aims).alias("target")).filter(F.col("kept") >= F.col("target") * F.col("positives"))
     best = ok.groupBy(*by, "target").agg(F.greatest(F.max("s"), F.lit(least)).alias("threshold"))
-    every = total.filter("positives > 0").select(*by, F.explode(aims).alias("target"))
-    return every.join(best, [*by, "target"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(least)))
+    wanted = total.filter("positives > 0").select(*by, F.explode(aims).alias("target"))
+    return wanted.join(best, [*by, "target"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(least)))
 
 
 def sweep(rows: DataFrame, thresholds: list, test: Column, aggregates: list[Column], name: str = "threshold") -> DataFrame:
