@@ -55,8 +55,8 @@ def cycles(edges: DataFrame, src: str = "src", dst: str = "dst", local: int = LO
     """(src): nodes on a cycle of the directed graph, of any length.
 
     Ends and chains are taken out round by round: nodes without an edge in or out are on no cycle, and a
-    node with one edge in and one out stands or falls with the edge that bypasses it (which of two
-    neighbours goes is decided by a salted hash, so a quarter of a chain goes in each round). What remains
+    node with one edge in and one out stands or falls with the edge that bypasses it (of
+    neighbours the least by a salted hash goes, so a third of a chain goes in each round). What remains
     is parted into strongly connected components by the largest ancestor. At most ``local`` remaining
     edges (checked; two ids each) are finished on the driver. Nothing grows beyond the edges.
     """
@@ -72,9 +72,9 @@ def cycles(edges: DataFrame, src: str = "src", dst: str = "dst", local: int = LO
             components = components.unionByName(_components_here(left, kind))
             break
         starts, ends = left.groupBy(F.col("s").alias("node")).agg(F.count("*").alias("out"), F.min("d").alias("w")), left.groupBy(F.col("d").alias("node")).agg(F.count("*").alias("into"), F.min("s").alias("u"))
-        coin = lambda c: F.pmod(F.xxhash64(F.lit(salt), c), F.lit(2)) == 1  # noqa: B023, E731
+        lot = lambda c: F.xxhash64(F.lit(salt), c)  # noqa: B023, E731
         chain = starts.join(ends, "node").filter((F.col("out") == 1) & (F.col("into") == 1)).select("node", "u", "w")
-        chosen = cut(chain.filter(coin("node") & ~coin("u")))
+        chosen = cut(chain.filter((lot("node") < lot("u")) & (lot("node") < lot("w"))))
         if not chosen.isEmpty():
             bypassed.append(chosen)
         elif n == before and chain.isEmpty():
