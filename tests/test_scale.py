@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quadrat import registry
 from quadrat.functions import geometry as g
 from quadrat.functions import stats
-from quadrat.operators import adapters, review
+from quadrat.operators import adapters, cluster, review, spatial
 from quadrat.plans import files
 from quadrat.sources import bridge, readers
 
@@ -83,3 +83,23 @@ def test_tasks_follow_the_bytes_of_a_table(spark, sf, monkeypatch):
 @pytest.mark.parametrize("name", ["match_per_image", "review_classify", "threshold_per_class"])
 def test_generated_methods_are_compiled(name, spark, sf, static):
     assert largest_method(spark, registry.queries()[name](spark, sf)) < 6000
+
+
+def test_equal_vectors_and_blocks(spark, monkeypatch):
+    """Repeated vectors, small blocks and parts: the nearest are those of a sort by similarity and id."""
+    monkeypatch.setattr(spatial, "BANK_BLOCK", 7)
+    monkeypatch.setattr(spatial, "BANK_BYTES", 1000)
+    rows = [(i, [float(i % 5), float(i * i % 7)], f"l{i % 3}") for i in range(60)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>, label string")
+    got = {r.id: (r.label, r.votes) for r in spatial.knn_vote(v, v, others=True).collect()}
+    for i, e, _ in rows:
+        near = sorted((-(e[0] * o[0] + e[1] * o[1]), j, name) for j, o, name in rows if j != i)[:5]
+        votes = {c: (sum(n[2] == c for n in near), max(-n[0] for n in near if n[2] == c), c) for _, _, c in near}
+        assert got[i] == (max(votes.values())[2], max(votes.values())[0])
+
+
+def test_fold_is_by_label(spark):
+    box = g.box(*(F.lit(v) for v in (0, 0, 10, 10)))
+    rows = spark.createDataFrame([(1, "a", "car", 5), (1, "b", "car", 9), (1, "c", "van", 7), (1, "d", None, 1), (1, "e", None, 2)], "image_id long, id string, label string, score int").withColumn("box", box)
+    made = cluster.merge_fold(rows)
+    assert sorted((r.lead, r.label, r.members) for r in made.collect()) == [("b", "car", 2), ("c", "van", 1), ("d", None, 1), ("e", None, 1)]
